@@ -123,7 +123,7 @@ def odd_sketches(got: np.ndarray, s: Settings) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
-    """doc_id and text to n_shingles, the set's digest (null if empty), its bands and its sketch."""
+    """doc_id and text to a hash of the text, n_shingles, the set's digest (null if empty), its bands and its sketch."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_bands = s.samples // s.band
@@ -139,9 +139,10 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
                 digest.append(next(at) if f else None)
             band = pa.ListArray.from_arrays(pa.array(offsets * n_bands, pa.int32()), pa.array(bands(got, s).ravel(), pa.int64()))
             sketch = pa.ListArray.from_arrays(pa.array(offsets * s.sketch_words, pa.int32()), pa.array(odd_sketches(got, s).ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(digest, pa.binary()), band, sketch], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts), pa.array(digest, pa.binary()), band, sketch], names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -239,19 +240,27 @@ def one_text(some: DataFrame, source: DataFrame, s: Settings) -> DataFrame:
 
 
 def groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id and text to doc_id, n_shingles, component_id and kept: one row a row."""
+    """doc_id and text to doc_id, n_shingles, component_id, text_hash and kept: one row a row."""
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.table(signatures(docs, s))
     labels = near_classes(scratch, signed, docs, s)
-    slim = signed.select("doc_id", "n_shingles", "digest")
+    slim = signed.select("doc_id", "n_shingles", "text_hash", "digest")
     firsts = slim.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("class_id"))
     classes = firsts.join(labels, "digest", "left").withColumn("comp", F.coalesce("comp", "digest"))
     smallest = classes.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     named = scratch.table(classes.join(smallest, "comp").select("digest", "component_id"))
-    linked = slim.join(named, "digest").select("doc_id", "n_shingles", "component_id")
-    alone = slim.filter("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = slim.join(named, "digest").select("doc_id", "n_shingles", "component_id", "text_hash")
+    alone = slim.filter("digest IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_hash")
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
 
 
+def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of docs that are kept; of rows equal in doc_id and text, one."""
+    names, none = docs.columns, F.lit((1 << 63) - 1)
+    kept = groups(docs, s).filter("kept").select(F.coalesce("doc_id", none).alias("quillon_id"), F.col("text_hash").alias("quillon_text")).distinct()
+    rows = docs.withColumns({"quillon_id": F.coalesce(F.col("doc_id").cast("long"), none), "quillon_text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    return rows.join(kept, ["quillon_id", "quillon_text"], "left_semi").dropDuplicates(["quillon_id", "quillon_text"]).select(*names)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups(read_table(spark, sf_dir, "documents"), Settings(shingle=4))
