@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import dashboard, reports
+from quillon.plans import dashboard, reports, special
 from quillon.plans.trials_view import trials
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,3 +15,6 @@ ORACLES: dict[str, str] = {}
 for _name, _spec in {**dashboard.QUERIES, **reports.QUERIES}.items():
     QUERIES[_name] = lambda spark, sf_dir, spec=_spec: spec.run(trials(spark, sf_dir, *spec.needs()))
     ORACLES[_name] = _spec.sql()
+
+QUERIES |= special.QUERIES
+ORACLES |= special.ORACLES
