@@ -1,16 +1,18 @@
 """Near-duplicate documents by MinHash, odd sketches and exact verification.
 
 1. Signatures. A text's words are hashed and combined to the distinct shingles of `shingle` words; documents of one set
-   make a class (the digest of the sorted set). 128 MinHash samples are cut into bands of 4, and folded into an odd
-   sketch (Mitzenmacher, Pagh and Pham, "Efficient Estimation for High Similarities using Odd Sketches", 2014): sample i
-   flips one bit of a 256-bit map. Two sketches' XOR has few bits set if their sets are similar.
+   make a class (the digest of the sorted set). 128 MinHash samples are cut into bands of 4. Another set of samples,
+   the least hash in each of 4096 ranges (one-permutation hashing), is folded into an odd sketch (Mitzenmacher, Pagh and
+   Pham, "Efficient Estimation for High Similarities using Odd Sketches", 2014): each sample flips one bit of a 2048-bit
+   map, and the bits set in the XOR of two maps tell how many samples differ. For sets of some hundred shingles this
+   is nearly all of the set, so estimates are off by a hundredth or less.
 2. Buckets. A band's key that several classes share makes a bucket. At a similarity of 0.8 a pair shares one of 32 bands
    but for a chance of 5e-8.
 3. Rounds. In each round every class of a bucket is compared with one hub of the bucket (another one each time), if they
-   are not yet connected; sketches are compared first, then sizes, then the full sets. Components are updated, and
-   buckets in one component retire. So a group of thousands of near copies costs a few comparisons a member.
-4. Rest. In buckets that still hold several components, all pairs across components are compared, sketches first and
-   within the join, until nothing is left to compare: no link is lost to the choice of hubs.
+   are not yet connected: sketches and sizes first, then the full sets. Components are updated, and buckets in one
+   component retire. So most of a group of thousands of near copies costs a few comparisons a member.
+4. Rest. In buckets that still hold several components, all pairs across components whose sketches come near the bar
+   are compared, each in the first band that both share: no link is lost to the choice of hubs.
 
 Links are confirmed on full sets: 100 * intersection >= 100 * similarity * union. Links, components and signatures stay
 tables in the shared folder; nothing of them goes to the driver.
@@ -44,9 +46,10 @@ class Settings:
     percent: int = 80  # of intersection to union
     samples: int = 128
     band: int = 4
-    sketch_words: int = 4  # of 64 bits
-    most_bits: int = 88  # set in the XOR of two sketches; 42 are to be expected at 0.8, with a deviation of 9
-    rounds: int = 4
+    ranges: int = 4096  # of hashes, each of which gives a sample to the sketch
+    sketch_words: int = 32  # of 64 bits
+    slack: float = 0.04  # by which an estimate may miss the bar: three deviations and more
+    rounds: int = 3
     seed: int = 23
 
 
@@ -112,14 +115,21 @@ def bands(got: np.ndarray, s: Settings) -> np.ndarray:
     return h.view(np.int64)
 
 
-def odd_sketches(got: np.ndarray, s: Settings) -> np.ndarray:
-    """The parity bitmaps of the samples, as words of 64 bits."""
-    which = mix(got.astype(np.uint64) << np.uint64(8) | np.arange(got.shape[1], dtype=np.uint64)) % np.uint64(64 * s.sketch_words)
-    out = np.zeros((len(got), s.sketch_words), dtype=np.uint64)
-    rows = np.arange(len(got))
-    for i in range(got.shape[1]):
-        out[rows, (which[:, i] >> np.uint64(6)).astype(np.int64)] ^= np.uint64(1) << (which[:, i] & np.uint64(63))
-    return out.view(np.int64)
+def odd_sketches(sets: np.ndarray, counts: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The parity bitmaps of the sets that are not empty, as words of 64 bits, and the number of samples in each."""
+    doc = np.repeat(np.arange((counts > 0).sum()), counts[counts > 0])
+    part = sets >> np.uint64(64 - s.ranges.bit_length() + 1)
+    first = np.ones(len(sets), dtype=bool)  # sets are sorted: the least hash of a range comes first
+    first[1:] = (part[1:] != part[:-1]) | (doc[1:] != doc[:-1])
+    doc, picked = doc[first], sets[first]
+    n = int((counts > 0).sum())
+    bit = (mix(picked) % np.uint64(64 * s.sketch_words)).astype(np.int64)
+    odd = np.zeros((n, s.sketch_words), dtype=np.uint64)
+    place = doc * (64 * s.sketch_words) + bit
+    places, times = np.unique(place, return_counts=True)
+    places = places[times % 2 == 1]
+    np.bitwise_or.at(odd.ravel(), places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
+    return odd.view(np.int64), np.bincount(doc, minlength=n)
 
 
 def signatures(docs: DataFrame, s: Settings) -> DataFrame:
@@ -138,11 +148,14 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
             for f in full.tolist():
                 digest.append(next(at) if f else None)
             band = pa.ListArray.from_arrays(pa.array(offsets * n_bands, pa.int32()), pa.array(bands(got, s).ravel(), pa.int64()))
-            sketch = pa.ListArray.from_arrays(pa.array(offsets * s.sketch_words, pa.int32()), pa.array(odd_sketches(got, s).ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts), pa.array(digest, pa.binary()), band, sketch], names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch"])
+            maps, picked = odd_sketches(sets, counts, s)
+            sketch = pa.ListArray.from_arrays(pa.array(offsets * s.sketch_words, pa.int32()), pa.array(maps.ravel(), pa.int64()))
+            n_picked = np.zeros(batch.num_rows, dtype=np.int64)
+            n_picked[full] = picked
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts), pa.array(digest, pa.binary()), band, sketch, pa.array(n_picked)], names=["doc_id", "text_hash", "n_shingles", "digest", "bands", "sketch", "picked"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>")
+    return rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>, picked long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
@@ -186,42 +199,55 @@ def components(scratch: Scratch, nodes: DataFrame, links: DataFrame) -> DataFram
 
 
 def near_classes(scratch: Scratch, signed: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
-    """digest, comp of all classes that are linked with others. signed: the table of signatures."""
-    spark = signed.sparkSession
-    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = scratch.table(classes)
-    keys = classes.select("digest", F.posexplode("bands").alias("band", "key")).select("digest", F.xxhash64("band", "key").alias("key"))
+    """digest, comp of all classes that share a bucket with others. signed: the table of signatures."""
+    spark, n_bands = signed.sparkSession, s.samples // s.band
+    firsts = [F.first(c).alias(a) for c, a in (("n_shingles", "size"), ("picked", "picked"), ("bands", "bands"), ("sketch", "sketch"))]
+    classes = scratch.table(signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), *firsts))
+    keys = classes.select("digest", F.posexplode("bands").alias("band", "key")).select("digest", "band", F.xxhash64("band", "key").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     buckets = scratch.table(keys.join(shared, "key"))
-    some = classes.join(buckets.select("digest").distinct(), "digest").select("digest", "rep", "size", "sketch")
-    some = scratch.table(some)
+    some = scratch.table(classes.join(buckets.select("digest").distinct(), "digest"))
     scratch.drop(classes)
     source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("rep IS NOT NULL")
     texts = scratch.table(one_text(some, source, s))
     links = scratch.table(spark.createDataFrame([], "a binary, b binary"))
     labels = scratch.table(some.select("digest", F.col("digest").alias("comp")))
-    sketched = some.select("digest", "size", "sketch")
-    left, right = (sketched.select(F.col("digest").alias(x), F.col("size").alias(f"size_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab")
+    sketched = ["digest", "size", "picked", "sketch"]
+    left, right = (some.select(*[F.col(c).alias(x if c == "digest" else f"{c}_{x}") for c in sketched]) for x in "ab")
 
     def alike() -> F.Column:
+        """Whether the estimate, less the slack, and the sizes allow for the similarity."""
         bits = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(s.sketch_words)), F.lit(0))
-        return (bits <= s.most_bits) & (100 * F.least("size_a", "size_b") >= s.percent * F.greatest("size_a", "size_b"))
+        width = 64.0 * s.sketch_words
+        differ = F.log(F.greatest(F.lit(1.0) - 2.0 * bits / width, F.lit(1e-9))) / float(np.log(1 - 2 / width))
+        bar = s.percent / 100 - s.slack
+        filled = s.ranges * (1 - F.exp(-(F.col("size_a") + F.col("size_b")) / ((1 + bar) * s.ranges)))  # by the union, at the bar
+        return (100 * F.least("size_a", "size_b") >= s.percent * F.greatest("size_a", "size_b")) & (F.col("picked_a") + F.col("picked_b") - differ >= 2 * bar * filled)
+
+    def first_band() -> F.Column:
+        """The first band that both share."""
+        out = F.when(F.col("bands_a")[0] == F.col("bands_b")[0], 0)
+        for k in range(1, n_bands):
+            out = out.when(F.col("bands_a")[k] == F.col("bands_b")[k], k)
+        return out
 
     for k in range(s.rounds + 1):
-        marked = buckets.join(labels, "digest")
-        open_keys = marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("digest", F.lit(k)).alias("h"), F.col("digest").alias("hub"), F.col("comp").alias("hub_comp"))).alias("m")).filter("lo != hi")
+        marked = scratch.table(buckets.join(labels, "digest"))
+        hub = F.min(F.struct(F.xxhash64("digest", F.lit(k)).alias("h"), F.col("digest").alias("hub"), F.col("comp").alias("hub_comp"))).alias("m")
+        open_keys = scratch.table(marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).filter("lo != hi").select("key", "m.hub", "m.hub_comp"))
         if k < s.rounds:
-            pairs = marked.join(open_keys.select("key", "m.hub", "m.hub_comp"), "key").filter("comp != hub_comp").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
+            pairs = marked.join(open_keys, "key").filter("comp != hub_comp").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
             pairs = pairs.join(left, "a").join(right, "b").filter(alike()).select("a", "b")
         else:
-            rest = scratch.table(marked.join(open_keys.select("key"), "key").join(sketched, "digest"))
-            x, y = (rest.select("key", *[F.col(c).alias(f"{c}_{p}") for c in ("digest", "comp", "size", "sketch")]) for p in "ab")
-            pairs = x.join(y, (x["key"] == y["key"]) & (F.col("digest_a") < F.col("digest_b")) & (F.col("comp_a") != F.col("comp_b")) & alike()).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b")).distinct()
+            rest = scratch.table(marked.join(open_keys.select("key"), "key").join(some.select(*sketched, "bands"), "digest"))
+            x, y = (rest.select("key", "band", *[F.col(c).alias(f"{c}_{p}") for c in ("comp", "bands", *sketched)]) for p in "ab")
+            near = (x["key"] == y["key"]) & (F.col("digest_a") < F.col("digest_b")) & (F.col("comp_a") != F.col("comp_b")) & alike() & (first_band() == x["band"])
+            pairs = x.join(y, near).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
         found = scratch.table(confirmed(pairs, texts, s))
-        if not found.limit(1).count():
-            continue
-        links = scratch.table(links.unionByName(found))
-        labels = components(scratch, some, links)
+        scratch.drop(marked)
+        if found.limit(1).count():
+            links = scratch.table(links.unionByName(found))
+            labels = components(scratch, some, links)
     return labels
 
 
