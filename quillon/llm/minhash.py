@@ -48,7 +48,7 @@ class Settings:
     band: int = 4
     ranges: int = 4096  # of hashes, each of which gives a sample to the sketch
     sketch_words: int = 32  # of 64 bits
-    slack: float = 0.04  # by which an estimate may miss the bar: three deviations and more
+    slack: float = 0.05  # by which an estimate may miss the bar: three deviations and more
     rounds: int = 3
     seed: int = 23
 
@@ -93,6 +93,8 @@ def samples(sets: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
     low = (sets >> np.uint64(32)).astype(np.uint32)
     starts = (np.cumsum(counts) - counts)[counts > 0]
     out = np.empty((len(starts), s.samples), dtype=np.uint32)
+    if not len(starts):
+        return out
     step = 1 << 18
     cuts = [0]  # sets that are worked on together
     for i in range(len(starts)):
