@@ -9,7 +9,7 @@ stream by, so its templates depend on their order; these do not, so tasks need n
 
 A template that stands in at least `least_docs` documents, not all with one and the same text, recurs: its lines are
 dropped from all documents but that of the smallest doc_id, so that no passage vanishes from the corpus. Lines of
-under `least_tokens` tokens always stay.
+under `least_tokens` constant tokens, or of more variable than constant ones, always stay.
 
 Documents are counted for each template by an aggregation that combines before the shuffle; a template in a third of
 all lines is one row a task there, and the join that marks lines is one that adaptive execution splits.
@@ -60,8 +60,8 @@ def templates(line: bytes, s: Settings) -> list[int]:
     """Keys of the templates that the line may belong to: 64-bit hashes of their paths and constants."""
     tokens = masked(line)
     n = len(tokens)
-    if n < s.least_tokens:
-        return []
+    if n < s.least_tokens or (constants := n - tokens.count(WILDCARD)) < s.least_tokens or 2 * constants < n:
+        return []  # a line of numbers says nothing about its template
     keys = [signed(xxhash.xxh3_64_intdigest(b" ".join(tokens), n))]
     if n >= s.least_general:
         head, rest = tokens[: s.leading], tokens[s.leading :]
