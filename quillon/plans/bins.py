@@ -12,7 +12,7 @@ COUNTRY_GROUP = "CASE WHEN n_countries >= 5 THEN '5+' ELSE CAST(n_countries AS V
 RESULTS = "CASE WHEN has_results THEN 'Results reported' WHEN NOT has_results THEN 'No results reported' ELSE 'Unknown' END"
 PROVENANCE = "CASE WHEN register = 'CTIS' AND analysis_register = 'EUCTR' THEN 'CTIS source, EUCTR-era migrated' WHEN register = 'CTIS' THEN 'CTIS source, native CTIS-era' WHEN register = 'EUCTR' THEN 'EUCTR source' ELSE 'Other' END"
 PIP_ORPHAN = "CASE WHEN has_pip = 'Yes' AND is_orphan = 'Yes' THEN 'PIP + Orphan' WHEN has_pip = 'Yes' THEN 'PIP only' WHEN is_orphan = 'Yes' THEN 'Orphan only' ELSE 'Neither' END"
-MONTHS = "round(duration_days / CAST(30.4375 AS DOUBLE), 6)"
+MONTHS = "duration_days / CAST(30.4375 AS DOUBLE)"
 
 #: Display order of each bin's labels.
 ORDER = {
