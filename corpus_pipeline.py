@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import langid, lines, minhash, packing, suffixes
-from quillon.llm.common import Scratch, read_table
+from quillon.llm.common import Scratch, bounded_batches, read_table
 
 
 def _shortened(docs: DataFrame, new: DataFrame) -> DataFrame:
@@ -21,21 +21,25 @@ def _shortened(docs: DataFrame, new: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told by a clear margin."""
+    bounded_batches(spark)
     return langid.identify(docs, langid.fit_on_unheld(docs)).filter("NOT rejected").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines of recurring templates."""
+    bounded_batches(spark)
     return _shortened(docs, lines.dedup(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bounded_batches(spark)
     return minhash.dedup(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand elsewhere too."""
+    bounded_batches(spark)
     return _shortened(docs, suffixes.cut(docs))
 
 
@@ -43,6 +47,7 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in packed sequences."""
     import public_tokenizers as P
 
+    bounded_batches(spark)
     return packing.pack(docs, P.path("byte_bpe_50k.json"), P.PATTERN)
 
 

@@ -98,9 +98,9 @@ class WordTable:
     encode gets new words and returns a list of ids for each.
     """
 
-    SLOTS = 22
+    SLOTS = 20
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], end: list[int], limit: int = 1_500_000):
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], end: list[int], limit: int = 500_000):
         self.encode, self.end, self.limit = encode, end, limit
         self.clear()
 
@@ -109,10 +109,9 @@ class WordTable:
         self.spare: dict[int, int] = {}
         self.n, self.used = 0, 0
         self.offs, self.lens, self.flat = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 18, dtype=np.uint32)
-        self.words: list[bytes] = []
-        self._append([b"\xff"], [self.end])
+        self._append([self.end])
 
-    def _append(self, words: list[bytes], ids: list[list[int]]) -> None:
+    def _append(self, ids: list[list[int]]) -> None:
         new = np.fromiter((x for w in ids for x in w), dtype=np.uint32)
         sizes = np.fromiter(map(len, ids), dtype=np.int32)
         while self.used + len(new) > len(self.flat):
@@ -123,7 +122,6 @@ class WordTable:
         self.lens[self.n : self.n + len(ids)] = sizes
         self.offs[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.n, self.used = self.n + len(ids), self.used + len(new)
-        self.words += words
 
     def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h >> np.uint64(64 - self.SLOTS)).astype(np.int64), (h & np.uint64((1 << self.SLOTS) - 1)).astype(np.int64)
@@ -148,7 +146,7 @@ class WordTable:
                 at, n = starts[left[first[new]]].tolist(), lengths[left[first[new]]].tolist()
                 words = [buf[s : s + k] for s, k in zip(at, n, strict=True)]
                 got[new] = np.arange(self.n, self.n + len(words))
-                self._append(words, self.encode(words))
+                self._append(self.encode(words))
                 self._keep(unique[new], got[new])
             out[left] = got[where]
         return out

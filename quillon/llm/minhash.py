@@ -166,14 +166,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = batch.num_rows
-            sets, counts = shingles(texts_of(batch.column(2)) + texts_of(batch.column(3)), s.shingle)
-            ends = np.cumsum(counts)
-            own = [sets[e - c : e] for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-            keep = []
-            for x, y in zip(own[:n], own[n:], strict=True):
-                common = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(100 * common >= s.percent * (len(x) + len(y) - common))
+            first, second, keep = texts_of(batch.column(2)), texts_of(batch.column(3)), []
+            for lo in range(0, len(first), 256):
+                x_sets, x_counts = shingles(first[lo : lo + 256], s.shingle)
+                y_sets, y_counts = shingles(second[lo : lo + 256], s.shingle)
+                for x_end, nx, y_end, ny in zip(np.cumsum(x_counts).tolist(), x_counts.tolist(), np.cumsum(y_counts).tolist(), y_counts.tolist(), strict=True):
+                    all_ = len(np.union1d(x_sets[x_end - nx : x_end], y_sets[y_end - ny : y_end]))
+                    keep.append(100 * (nx + ny - all_) >= s.percent * all_)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
