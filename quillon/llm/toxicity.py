@@ -1,12 +1,16 @@
 """Toxicity by cumulative-link ordinal regression.
 
 Labels say whether a text is toxic; severity is graded 0 where it is not, 1 where it is, and 2 where a toxic text has
-at least the median number of the words that a first fit finds. One weight a word is shared by all thresholds
+at least the median number of the words that a first fit finds. Features are whole words and the beginnings of words, of
+3 to 8 characters that several words share, as rare words are learned only by what they share. One weight a feature is shared by all thresholds
 (McCullagh, "Regression Models for Ordinal Data", 1980):
-P(grade >= j) = 1 / (1 + exp(threshold_j - sum of the weights of the text's distinct words)). Weights are fitted with an
-L1 penalty by accelerated proximal gradient on a bounded sample of labelled rows, and the words of at least half the
-largest weight once more with hardly any penalty (relaxed lasso), as a penalty that keeps chance words out also shrinks
-the weights of the true ones; thresholds carry none. Every whole text is then scored by the words it shares with the model, which is small.
+P(grade >= j) = 1 / (1 + exp(threshold_j - sum of weight * count / sqrt(length))), where count is how many of the text's
+words have the feature, and length the text's words in units of `unit`, 1 at least: chance hits add up in long
+texts. Weights are fitted with an L1 penalty by accelerated proximal gradient on a bounded sample of labelled rows; the
+penalty of a feature is `deviations` times the deviation that its gradient has by chance, so that rare features need no
+more evidence than common ones. All features of positive weight are fitted once more with a tenth of the penalty (relaxed
+lasso), as a penalty that keeps chance words out also shrinks the weights of the true ones; thresholds carry none. Every
+whole text is then scored by its words' weights.
 
 Sampling: labels are counted over all labelled rows; hash thresholds let about `sample_rows` / 2 of each through,
 and rows weigh as many as they stand for. Texts of over `most_chars` characters are not learned from, but are scored.
@@ -18,6 +22,8 @@ null labels are not learned from; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+import math
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -32,9 +38,15 @@ from quillon.llm.common import read_table, texts_of
 _TO_SPACE = bytes(b if chr(b).isalnum() and b < 128 or b >= 128 else 32 for b in range(256))
 
 
-def words(text: bytes) -> set[bytes]:
-    """Distinct words in lower case; what is no letter or digit in ASCII divides words."""
-    return set(text.decode().lower().encode().translate(_TO_SPACE).split())
+def words(text: bytes) -> list[bytes]:
+    """Words in lower case; what is no letter or digit in ASCII divides words."""
+    return text.decode().lower().encode().translate(_TO_SPACE).split()
+
+
+def features(word: bytes, shortest: int = 3, longest: int = 8) -> list[bytes]:
+    """The word and its beginnings, which a sign that words cannot hold marks."""
+    w = word.decode()
+    return [word, *(b"^" + w[:k].encode() for k in range(shortest, min(longest, len(w)) + 1))]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -43,59 +55,107 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class OrdinalModel:
-    """Word weights and ascending thresholds."""
+    """Feature weights and ascending thresholds."""
 
     weights: dict[bytes, float] = field(default_factory=dict)
     thresholds: list[float] = field(default_factory=list)
+    unit: float = 50.0
+    _known: dict[bytes, float] = field(default_factory=dict, repr=False)
+
+    def __getstate__(self):
+        return {**self.__dict__, "_known": {}}
 
-    def __post_init__(self):
-        self.vocabulary = frozenset(self.weights)
+    def _weight(self, word: bytes) -> float:
+        """The weight of all features of a word; those of words met before are kept, up to a bound."""
+        if (x := self._known.get(word)) is None:
+            if len(self._known) >= 1 << 17:
+                self._known.clear()
+            x = self._known[word] = math.fsum(self.weights.get(f, 0.0) for f in features(word))
+        return x
 
     def exceed(self, text: bytes) -> list[float]:
         """P(grade >= j) for j from 1."""
-        x = sum(sorted(self.weights[w] for w in words(text) & self.vocabulary))
+        own = words(text)
+        x = math.fsum(map(self._weight, own)) / math.sqrt(max(1.0, len(own) / self.unit))
         return _sigmoid(x - np.array(self.thresholds)).tolist()
 
     @classmethod
-    def fit(cls, texts: list[bytes], toxic: list[int], stands_for: list[float], least_docs: int = 8, penalty: float = 1e-3, steps: int = 200, keep: float = 0.5) -> OrdinalModel:
-        own, n = [words(t) for t in texts], Counter()
-        for ws in own:
-            n.update(ws)
-        first = cls._fit(own, toxic, stands_for, {w for w, k in n.items() if k >= least_docs}, penalty, steps)
-        most = max(first.weights.values(), default=0)
-        kept = {w for w, x in first.weights.items() if x >= keep * most}
-        found = [len(ws & kept) for ws in own]
+    def fit(cls, texts: list[bytes], toxic: list[int], stands_for: list[float], least_docs: int = 8, least_words: int = 4, deviations: float = 4.5, steps: int = 200) -> OrdinalModel:
+        if not any(toxic):
+            return cls({}, [])
+        word_ids, ids, starts, own, lengths = {}, {}, [0], [], []
+        flat = array("i")  # feature numbers, word by word
+        for t in texts:
+            ws = words(t)
+            lengths.append(len(ws))
+            n_of = Counter(ws)
+            for w in n_of:
+                if w not in word_ids:
+                    word_ids[w] = len(word_ids)
+                    flat.extend(ids.setdefault(f, len(ids)) for f in features(w))
+                    starts.append(len(flat))
+            own.append((np.array([word_ids[w] for w in n_of], dtype=np.int32), np.array(list(n_of.values()), dtype=np.int32)))
+        of_word, starts = np.array(flat, dtype=np.int32), np.array(starts)
+        word_of = np.repeat(np.arange(len(word_ids)), np.diff(starts))
+
+        def counts(ws: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The features of a text's words, and how many of these have each."""
+            n = starts[ws + 1] - starts[ws]
+            f, at = np.unique(of_word[np.repeat(starts[ws] - np.cumsum(n) + n, n) + np.arange(n.sum())], return_inverse=True)
+            return f, np.bincount(at, weights=np.repeat(times, n), minlength=len(f))
+
+        share, y = np.array(stands_for) / np.sum(stands_for), np.array(toxic)
+        docs, weight, hits = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids)), np.zeros(len(ids))
+        for (ws, times), s, t in zip(own, share, y, strict=True):
+            f = counts(ws, times)[0]
+            docs[f] += 1
+            weight[f] += s
+            hits[f] += s * t
+        # a feature that is no commoner in toxic texts than in all cannot be a sign of them
+        n_words = np.bincount(of_word, minlength=len(ids))  # a beginning of few words says nothing that these do not
+        names = sorted(f for f, i in ids.items() if docs[i] >= least_docs and (n_words[i] >= least_words or not f.startswith(b"^")) and hits[i] > (share * y).sum() * weight[i])
+        column = np.full(len(ids), -1, dtype=np.int64)
+        column[[ids[f] for f in names]] = np.arange(len(names))
+        rows, cols, values = [], [], []
+        for i, (ws, times) in enumerate(own):
+            f, k = counts(ws, times)
+            k, f = k[column[f] >= 0], column[f[column[f] >= 0]]
+            rows.append(np.full(len(f), i))
+            cols.append(f)
+            values.append(k / math.sqrt(max(1.0, lengths[i] / cls.unit)))
+        rows, cols, values = (np.concatenate(x) for x in (rows, cols, values))
+        first = cls._fit(rows, cols, values, toxic, share, names, deviations, steps)
+        signs = np.zeros(len(ids), dtype=bool)
+        signs[[ids[f] for f, x in first.weights.items() if x > 0]] = True
+        tells = np.bincount(word_of, weights=signs[of_word], minlength=len(word_ids)) > 0
+        found = [int(tells[ws].sum()) for ws, _ in own]
         middle = float(np.median([k for k, t in zip(found, toxic, strict=True) if t and k] or [0]))
         grades = [t and 1 + (k >= max(2, middle)) for t, k in zip(toxic, found, strict=True)]
-        return cls._fit(own, grades, stands_for, kept, penalty / 100, 5 * steps)
+        kept = np.array([first.weights.get(f, 0) > 0 for f in names], dtype=bool)
+        some = kept[cols] if len(names) else np.zeros(0, dtype=bool)
+        return cls._fit(rows[some], (np.cumsum(kept) - 1)[cols[some]], values[some], grades, share, [f for f, k in zip(names, kept, strict=True) if k], deviations / 10, 5 * steps)
 
     @classmethod
-    def _fit(cls, own: list[set[bytes]], grades: list[int], stands_for: list[float], of: set[bytes], penalty: float, steps: int) -> OrdinalModel:
-        top = max(grades, default=0)
-        if not top:
-            return cls({}, [])
-        names = sorted(of)
-        index = {w: i for i, w in enumerate(names)}
-        rows = np.repeat(np.arange(len(own)), [len(ws & of) for ws in own])
-        cols = np.array([index[w] for ws in own for w in sorted(ws & of)], dtype=np.int64)
-        y, share = np.array(grades), np.array(stands_for) / np.sum(stands_for)
-        n, m = len(own), len(names)
+    def _fit(cls, rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: list[int], share: np.ndarray, names: list[bytes], deviations: float, steps: int) -> OrdinalModel:
+        y, n, m = np.array(grades), len(grades), len(names)
+        top = int(y.max())
         base = [float(np.clip((share * (y >= j)).sum(), 1e-6, 1 - 1e-6)) for j in range(1, top + 1)]
         theta = np.maximum.accumulate([np.log((1 - p) / p) for p in base])
         w, z, t = np.zeros(m), np.zeros(m), 1.0
-        load = np.bincount(rows, minlength=n)
-        rate = 2.0 / max(1e-6, np.bincount(cols, weights=(share * load)[rows], minlength=m).max(initial=0.0))  # by a bound on the curvature
+        chance = np.sqrt(base[0] * (1 - base[0]) * np.bincount(cols, weights=(share[rows] * values) ** 2, minlength=m))
+        load = np.bincount(rows, weights=values, minlength=n)
+        rate = 2.0 / max(1e-6, np.bincount(cols, weights=(share * load)[rows] * values, minlength=m).max(initial=0.0))  # by a bound on the curvature
         for _ in range(steps):
-            x = np.bincount(rows, weights=z[cols], minlength=n)
+            x = np.bincount(rows, weights=z[cols] * values, minlength=n)
             # likelihood of a grade: the difference of neighbouring cumulative curves
             cum = np.concatenate([np.ones((n, 1)), _sigmoid(x[:, None] - theta), np.zeros((n, 1))], axis=1)
             slope = cum * (1 - cum)
             p = np.maximum(cum[np.arange(n), y] - cum[np.arange(n), y + 1], 1e-12)
             a, b = slope[np.arange(n), y] / p, slope[np.arange(n), y + 1] / p
             gx = -share * (a - b)
-            g = np.bincount(cols, weights=gx[rows], minlength=m)
+            g = np.bincount(cols, weights=gx[rows] * values, minlength=m)
             new = z - rate * g
-            new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
+            new = np.sign(new) * np.maximum(np.abs(new) - rate * deviations * chance, 0)
             t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
             z, w, t = new + (t - 1) / t_next * (new - w), new, t_next
             for j in range(top):  # a threshold lies below the grades from j + 1 on
@@ -117,7 +177,7 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 9000, m
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     some = graded.filter(spread < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("grade")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    rows = texts.join(some, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample_rows).collect()
+    rows = texts.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample_rows).collect()
     return OrdinalModel.fit([r["text"].encode() for r in rows], [r["grade"] for r in rows], [1 / share[r["grade"]] for r in rows])
 
 

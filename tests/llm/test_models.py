@@ -58,6 +58,17 @@ def test_held_out_toxicity(spark):
     assert len(flagged) > 30 and flagged["label"].mean() > 0.95
 
 
+def test_held_out_toxicity_by_language(spark):
+    docs, labels = read_table(spark, "/root/testdata/sf0.1", "documents"), read_table(spark, "/root/testdata/sf0.1", "labels")
+    out = langid.held_out(F.col("doc_id"))
+    model = toxicity.fit_on_labels(docs, labels.filter(~out))
+    held = docs.join(labels.filter(out).select("doc_id", F.col("toxic").alias("label")), "doc_id")
+    got = toxicity.score(held, model).join(held.select("doc_id", "lang", "label"), "doc_id").toPandas()
+    for lang, own in got.groupby("lang"):
+        assert own[own["label"] == 1]["toxic"].mean() > 0.8, lang
+        assert own[own["label"] == 0]["toxic"].mean() < 0.03, lang
+
+
 def test_language_accuracy_on_held_out_rows(spark):
     got = langid.op9_language_id(spark, SF).join(read_table(spark, SF, "documents").select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
     assert (got["lang_pred"] == got["lang"]).mean() > 0.95 and got["score"].between(0, 1).all()
