@@ -4,8 +4,11 @@
    make a class (the digest of the sorted set). 128 MinHash samples are cut into bands of 4. Another set of samples,
    the least hash in each of 4096 ranges (one-permutation hashing), is folded into an odd sketch (Mitzenmacher, Pagh and
    Pham, "Efficient Estimation for High Similarities using Odd Sketches", 2014): each sample flips one bit of a 2048-bit
-   map, and the bits set in the XOR of two maps tell how many samples differ. For sets of some hundred shingles this
-   is nearly all of the set, so estimates are off by a hundredth or less.
+   map, and the bits set in the XOR of two maps tell how many samples differ. They are never more than twice the
+   shingles that only one of two sets has, nor more than these and the shingles of either set that are no samples, as a
+   range of which both have a sample can differ in both by one such shingle, but then hides a shingle that both share.
+   So a pair that has too many for its sizes is no link, whatever collides. Only for sets too large for this to tell
+   much, where samples are thousands, the number estimated by the bits decides too.
 2. Buckets. A band's key that several classes share makes a bucket. At a similarity of 0.8 a pair shares one of 32 bands
    but for a chance of 5e-8.
 3. Rounds. In each round every class of a bucket is compared with one hub of the bucket (another one each time), if they
@@ -48,7 +51,8 @@ class Settings:
     band: int = 4
     ranges: int = 4096  # of hashes, each of which gives a sample to the sketch
     sketch_words: int = 32  # of 64 bits
-    slack: float = 0.05  # by which an estimate may miss the bar: three deviations and more
+    slack: float = 0.08  # by which an estimate may miss the bar: six deviations
+    estimated: int = 6000  # sizes of two sets, added, from which the estimate decides too
     rounds: int = 3
     seed: int = 23
 
@@ -160,6 +164,18 @@ def signatures(docs: DataFrame, s: Settings) -> DataFrame:
     return rows.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit("")))).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, digest binary, bands array<long>, sketch array<long>, picked long")
 
 
+def alike(s: Settings) -> F.Column:
+    """Whether sizes, sketches and, for large sets, the estimate less the slack allow for the similarity."""
+    bits = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(s.sketch_words)), F.lit(0))
+    width = 64.0 * s.sketch_words
+    differ = F.log(F.greatest(F.lit(1.0) - 2.0 * bits / width, F.lit(1e-9))) / float(np.log(1 - 2 / width))
+    bar = s.percent / 100 - s.slack
+    filled = s.ranges * (1 - F.exp(-(F.col("size_a") + F.col("size_b")) / ((1 + bar) * s.ranges)))  # by the union, at the bar
+    sizes, hidden = F.col("size_a") + F.col("size_b"), F.col("size_a") + F.col("size_b") - F.col("picked_a") - F.col("picked_b")
+    near = (100 * F.least("size_a", "size_b") >= s.percent * F.greatest("size_a", "size_b")) & ((bits - F.least(hidden, F.ceil(bits / 2))) * (100 + s.percent) <= sizes * (100 - s.percent))
+    return near & ((sizes < s.estimated) | (F.col("picked_a") + F.col("picked_b") - differ >= 2 * bar * filled))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough. texts: digest, text."""
     both = pairs.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
@@ -216,15 +232,6 @@ def near_classes(scratch: Scratch, signed: DataFrame, docs: DataFrame, s: Settin
     sketched = ["digest", "size", "picked", "sketch"]
     left, right = (some.select(*[F.col(c).alias(x if c == "digest" else f"{c}_{x}") for c in sketched]) for x in "ab")
 
-    def alike() -> F.Column:
-        """Whether the estimate, less the slack, and the sizes allow for the similarity."""
-        bits = sum((F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(s.sketch_words)), F.lit(0))
-        width = 64.0 * s.sketch_words
-        differ = F.log(F.greatest(F.lit(1.0) - 2.0 * bits / width, F.lit(1e-9))) / float(np.log(1 - 2 / width))
-        bar = s.percent / 100 - s.slack
-        filled = s.ranges * (1 - F.exp(-(F.col("size_a") + F.col("size_b")) / ((1 + bar) * s.ranges)))  # by the union, at the bar
-        return (100 * F.least("size_a", "size_b") >= s.percent * F.greatest("size_a", "size_b")) & (F.col("picked_a") + F.col("picked_b") - differ >= 2 * bar * filled)
-
     def first_band() -> F.Column:
         """The first band that both share."""
         out = F.when(F.col("bands_a")[0] == F.col("bands_b")[0], 0)
@@ -238,11 +245,11 @@ def near_classes(scratch: Scratch, signed: DataFrame, docs: DataFrame, s: Settin
         open_keys = scratch.table(marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).filter("lo != hi").select("key", "m.hub", "m.hub_comp"))
         if k < s.rounds:
             pairs = marked.join(open_keys, "key").filter("comp != hub_comp").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
-            pairs = pairs.join(left, "a").join(right, "b").filter(alike()).select("a", "b")
+            pairs = pairs.join(left, "a").join(right, "b").filter(alike(s)).select("a", "b")
         else:
             rest = scratch.table(marked.join(open_keys.select("key"), "key").join(some.select(*sketched, "bands"), "digest"))
             x, y = (rest.select("key", "band", *[F.col(c).alias(f"{c}_{p}") for c in ("comp", "bands", *sketched)]) for p in "ab")
-            near = (x["key"] == y["key"]) & (F.col("digest_a") < F.col("digest_b")) & (F.col("comp_a") != F.col("comp_b")) & alike() & (first_band() == x["band"])
+            near = (x["key"] == y["key"]) & (F.col("digest_a") < F.col("digest_b")) & (F.col("comp_a") != F.col("comp_b")) & alike(s) & (first_band() == x["band"])
             pairs = x.join(y, near).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
         found = scratch.table(confirmed(pairs, texts, s))
         scratch.drop(marked)

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillon.llm import lines, minhash, suffixes
@@ -51,6 +52,19 @@ def test_groups_equal_brute_force(table):
     assert [(got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) for i in range(len(TEXTS))] == [(len(s), c, c == i) for i, (s, c) in enumerate(zip(sets, label, strict=True))]
 
 
+def test_sketches_reject_no_link(spark):
+    s, draw, rows = minhash.Settings(), np.random.default_rng(3), []
+    for union, both, n in ((15, 12, 400), (20, 16, 400), (30, 24, 400), (50, 40, 400), (100, 80, 400), (800, 640, 300), (1500, 1200, 100), (3500, 2800, 50), (20_000, 16_000, 10)):
+        for _ in range(n):
+            e, half = draw.integers(0, 1 << 64, union, dtype=np.uint64), both + (union - both) // 2
+            sets = [np.sort(e[:half]), np.sort(np.concatenate([e[:both], e[half:]]))]
+            maps, picked = minhash.odd_sketches(np.concatenate(sets), np.array([len(x) for x in sets]), s)
+            rows.append((union, *(len(x) for x in sets), *picked.tolist(), *maps.tolist()))
+    pairs = spark.createDataFrame(rows, "union int, size_a long, size_b long, picked_a long, picked_b long, sketch_a array<long>, sketch_b array<long>")
+    assert {r["union"]: r["count"] for r in pairs.filter(~minhash.alike(s)).groupBy("union").count().collect()} == {}
+    assert pairs.withColumn("sketch_b", F.transform("sketch_b", lambda x: F.bitwise_not(x))).filter(minhash.alike(s) & (F.col("size_a") < 1000)).count() == 0
+
+
 def test_dedup_keeps_one_of_each_group(table):
     df = table(["a b c d e f", "a b c d e f", "g h i j k l", None, ""]).unionByName(table(["a b c d e f"]))
     out = minhash.dedup(df).collect()
