@@ -9,7 +9,8 @@ stream by, so its templates depend on their order; these do not, so tasks need n
 
 A template that stands in at least `least_docs` documents, not all with one and the same text, recurs: its lines are
 dropped from all documents but that of the smallest doc_id, so that no passage vanishes from the corpus. Lines of
-under `least_tokens` constant tokens, or of more variable than constant ones, always stay.
+under `least_tokens` constant tokens, or of more variable than constant ones, have no template. A whole line of two or
+more tokens recurs as it is, fields and all, from `least_exact` documents on; lines of one token always stay.
 
 Documents are counted for each template by an aggregation that combines before the shuffle; a template in a third of
 all lines is one row a task there, and the join that marks lines is one that adaptive execution splits.
@@ -43,6 +44,7 @@ class Settings:
     least_tokens: int = 3
     least_general: int = 9
     least_docs: int = 8
+    least_exact: int = 3
 
 
 def masked(line: bytes) -> list[bytes]:
@@ -57,18 +59,23 @@ def signed(h: int) -> int:
 
 
 def templates(line: bytes, s: Settings) -> list[int]:
-    """Keys of the templates that the line may belong to: 64-bit hashes of their paths and constants."""
+    """Keys of the line itself, which are even, and of the templates that it may belong to, which are odd: hashes of their paths and constants."""
     tokens = masked(line)
     n = len(tokens)
+    if n < 2:
+        return []
+    exact = signed(xxhash.xxh3_64_intdigest(b" ".join(line.split()), n) & ~1)
     if n < s.least_tokens or (constants := n - tokens.count(WILDCARD)) < s.least_tokens or 2 * constants < n:
-        return []  # a line of numbers says nothing about its template
-    keys = [signed(xxhash.xxh3_64_intdigest(b" ".join(tokens), n))]
+        return [exact]  # a line of numbers says nothing about its template
+    keys = [exact]
+    if constants < n:
+        keys.append(signed(xxhash.xxh3_64_intdigest(b" ".join(tokens), n) | 1))
     if n >= s.least_general:
         head, rest = tokens[: s.leading], tokens[s.leading :]
         for g in range(3):
             some = list(rest)
             some[g::3] = [WILDCARD] * len(some[g::3])
-            keys.append(signed(xxhash.xxh3_64_intdigest(b" ".join(head + some), n + (g + 1 << 32))))
+            keys.append(signed(xxhash.xxh3_64_intdigest(b" ".join(head + some), n + (g + 1 << 32)) | 1))
     return keys
 
 
@@ -100,7 +107,7 @@ def recurring(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """Keys of recurring templates, and the smallest document of each."""
     once = line_keys(docs, s, each_line=False)
     counted = once.groupBy("key").agg(F.count("*").alias("n"), F.min("quillon_id").alias("first_id"), F.min("quillon_text").alias("lo"), F.max("quillon_text").alias("hi"))
-    return counted.filter((F.col("n") >= s.least_docs) & (F.col("lo") != F.col("hi"))).select("key", "first_id", "n")
+    return counted.filter((F.col("n") >= F.when(F.col("key") % 2 == 0, s.least_exact).otherwise(s.least_docs)) & (F.col("lo") != F.col("hi"))).select("key", "first_id", "n")
 
 
 def dropped_lines(docs: DataFrame, s: Settings = Settings()) -> DataFrame:

@@ -134,3 +134,11 @@ def test_copies_of_one_text_are_no_template(table):
 def test_generalised_fields(table):
     texts = [f"The order was shipped by courier {n} to the customer without any delay" for n in ("anna", "bert", "carl", "dora", "emil", "fritz", "gerd", "hans", "ida")]
     assert lines.dedup(table(texts)).agg(F.sum("n_dropped")).first()[0] == len(texts) - 1
+
+
+def test_short_and_rare_lines_recur(table):
+    own = [" ".join(w.translate(str.maketrans("0123456789", "abcdefghij")) for w in words(8)) for _ in range(12)]
+    texts = [f"{t}\nRead more\nPage 3 of 10\nPage {i} of 99\n" + ("One rare line of words\n" if i < 3 else "Two of these only\n" if i < 5 else "") for i, t in enumerate(own)]
+    out = {r["doc_id"]: r["text"] for r in lines.dedup(table(texts)).collect()}
+    assert out[0] == texts[0] and all("Read more" not in out[i] and "Page 3 of 10" not in out[i] and own[i] in out[i] and f"Page {i} of 99" in out[i] for i in range(1, 12))
+    assert [i for i in out if "rare" in out[i]] == [0] and [i for i in out if "only" in out[i]] == [3, 4]
