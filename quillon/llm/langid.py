@@ -5,6 +5,10 @@ once with each dictionary, in segments so that a dictionary bears on all of a lo
 gives the fewest bytes wins (Benedetto, Caglioti and Loreto, "Language Trees and Zipping", 2002). The score is how much
 shorter the best code is than the second best, as a share of the latter; a narrow margin is a rejection.
 
+Texts too short for matches compress alike with all dictionaries. Texts of under `short` bytes, and ties of under
+`settled` bytes, are coded by the bits of each byte after the four before it, counted in the same dictionaries (partial
+matching, blended over shorter contexts). Under `short` bytes no margin is too narrow, and only a tie is rejected.
+
 Sampling: languages are counted over all rows; a text joins the sample when the hash of its doc_id lies under a
 threshold that lets about `sample_docs` of each language through, and at most that many are kept. These texts, cut to
 `text_chars`, are all that the driver ever holds.
@@ -16,6 +20,8 @@ rows; null lang is never learned from; other columns are not read.
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -53,7 +59,11 @@ class CompressionClassifier:
     levels: tuple[tuple[int, int], ...] = ((512, 12), (4096, 3), (1 << 62, 1))  # texts under so many bytes: zstandard's level
     segment: int = 16_384
     narrow: float = 0.005
+    short: int = 64
+    settled: int = 4096
+    context: int = 4
     _made: list = field(default_factory=list, repr=False)
+    _counted: dict = field(default_factory=dict, repr=False)
 
     @classmethod
     def fit(cls, texts: DataFrame, sample_docs: int = 128, text_chars: int = 4096, dictionary_bytes: int = 98_304, **options) -> CompressionClassifier:
@@ -73,7 +83,7 @@ class CompressionClassifier:
         return cls({lang: b"\n".join(map(plain, (t.encode() for t in own)))[:dictionary_bytes] for lang, own in sorted(chosen.items())}, **options)
 
     def __getstate__(self):
-        return {**self.__dict__, "_made": []}
+        return {**self.__dict__, "_made": [], "_counted": {}}
 
     def _compressors(self, size: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
         if not self._made:
@@ -86,6 +96,23 @@ class CompressionClassifier:
                 self._made.append(own)
         return next(own for (most, _), own in zip(self.levels, self._made, strict=True) if size < most)
 
+    def _bits(self, text: bytes) -> list[tuple[float, str]]:
+        """The bits of a short text by language, fewest first."""
+        if not self._counted:
+            for lang, content in self.dictionaries.items():
+                content = b" " + content + b" "
+                self._counted[lang] = Counter(content[i : i + k] for k in range(1, self.context + 2) for i in range(len(content) - k + 1))
+        text, out = b" " + text + b" ", []
+        for lang, n in self._counted.items():
+            total, bits = len(self.dictionaries[lang]) + 2, 0.0
+            for i in range(1, len(text)):
+                p = (n[text[i : i + 1]] + 1 / 256) / (total + 1)
+                for k in range(1, min(i, self.context) + 1):
+                    p = (n[text[i - k : i + 1]] + p) / (n[text[i - k : i]] + 1)
+                bits -= math.log2(p)
+            out.append((bits, lang))
+        return sorted(out)
+
     def predict(self, text: bytes | None) -> tuple[str, float, bool]:
         """The language, the score and whether it is rejected."""
         if not text or not self.dictionaries or not has_letter(text):
@@ -95,8 +122,10 @@ class CompressionClassifier:
         sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in self._compressors(len(text)))
         if len(sizes) == 1:
             return sizes[0][1], 1.0, False
+        if len(text) < self.short or sizes[0][0] == sizes[1][0] and len(text) < self.settled:
+            sizes = self._bits(text)
         score = 1 - sizes[0][0] / sizes[1][0]
-        return sizes[0][1], score, score < self.narrow
+        return sizes[0][1], score, score < self.narrow if len(text) >= self.short else score == 0
 
 
 def identify(docs: DataFrame, model: CompressionClassifier) -> DataFrame:

@@ -83,6 +83,14 @@ def test_language_of_odd_texts(table):
     assert langid.CompressionClassifier({}).predict(b"text") == ("und", 0.0, True)
 
 
+def test_short_texts_have_a_language(spark):
+    docs = read_table(spark, "/root/testdata/sf0.1", "documents")
+    short = docs.filter(langid.held_out(F.col("doc_id")) & (F.length("text") < 40))
+    got = langid.identify(short, langid.fit_on_unheld(docs)).toPandas()
+    for some in (got[got["text"].str.len() < 20], got[got["text"].str.len() >= 20]):
+        assert len(some) > 5 and (some["lang_pred"] == some["lang"]).mean() > 0.9 and not some["rejected"].any()
+
+
 def test_learning_ignores_held_out_rows(spark):
     rows = [(i, "held" * 30 if zlib.crc32(str(i).encode()) % 5 == 0 else "kept" * 30, "xx") for i in range(60)] + [(99, "kept", None), (98, None, "xx")]
     model = langid.fit_on_unheld(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
