@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised block holds (a single longer text makes a longer block).
 BLOCK_BYTES = 2 << 20
@@ -28,20 +29,48 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores behind those that a column has, in whatever case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, whatever signs their names hold."""
+    return [quoted(c) for c in df.columns]
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, on a local master only, one of our own (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="quillon-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; `drop` frees those that nothing reads any more."""
+    """Tables written to the shared folder to cut lineage; `drop` frees those that nothing reads any more, and the
+    session's end what is left."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}", 0
+        at = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        store.mkdirs(at)
+        store.deleteOnExit(at)
 
     def table(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -51,6 +80,18 @@ class Scratch:
         out._quillon_path = at
         return out
 
+    def recurring(self, rows: DataFrame, key: str, hot: int = 10_000) -> tuple[DataFrame, DataFrame]:
+        """Of a table's rows those whose key stands in others too, and the counted keys.
+
+        Keys of more than a thousandth of all rows, and of `hot` at least, are fewer than a thousand: these are
+        broadcast, so that their rows stay where they are. The others are joined.
+        """
+        counts = self.table(rows.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"))
+        least = max(hot, (counts.agg(F.sum("n")).first()[0] or 0) // 1000)
+        most = F.broadcast(counts.filter(F.col("n") > least).select(key))
+        rest = rows.join(most, key, "left_anti").join(counts.filter(F.col("n") <= least).select(key), key, "left_semi")
+        return rows.join(most, key, "left_semi").unionByName(rest), counts
+
     def drop(self, *tables: DataFrame) -> None:
         jvm = self.spark._jvm
         for t in tables:

@@ -11,18 +11,20 @@
    much, where samples are thousands, the number estimated by the bits decides too.
 2. Buckets. A band's key that several classes share makes a bucket. At a similarity of 0.8 a pair shares one of 32 bands
    but for a chance of 5e-8.
-3. Rounds. In each round every class of a bucket is compared with one hub of the bucket (another one each time), if they
-   are not yet connected: sketches and sizes first, then the full sets. Components are updated, and buckets in one
-   component retire. So most of a group of thousands of near copies costs a few comparisons a member.
-4. Rest. In buckets that still hold several components, all pairs across components whose sketches come near the bar
-   are compared, each in the first band that both share: no link is lost to the choice of hubs.
+3. Rounds. In each round every class is compared with one hub, that of one of its buckets, if they are not yet
+   connected: sketches and sizes first, then the full sets. A bucket's first hub is its class that shares buckets with
+   most others, which the members of a group of copies have in common; later ones are drawn by hash. Components are
+   updated, and buckets in one component retire. So a group of thousands of near copies costs a few comparisons a member.
+4. Rest. In buckets that still hold several components, split by the sizes of sets, pairs across components whose
+   sketches allow a link are compared, each in the first band that both share: no link is lost to the choice of hubs.
 
 Links are confirmed on full sets: 100 * intersection >= 100 * similarity * union. Links, components and signatures stay
 tables in the shared folder; nothing of them goes to the driver.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; texts of fewer words
 than a shingle are one shingle; rows with equal sets are linked, whatever their ids; a set that only rows of null doc_id
-have is a component of its own, without an id; an empty table gives no rows; other columns are not read.
+have is a component of its own, without an id; an empty table gives no rows; other columns, whatever their names, are
+kept by `dedup`.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import Scratch, blocks, hash_slices, mix, read_table, texts_of
+from quillon.llm.common import Scratch, blocks, columns_of, fresh, hash_slices, mix, read_table, texts_of
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[32, *range(9, 14)]] = True
@@ -51,7 +53,7 @@ class Settings:
     band: int = 4
     ranges: int = 4096  # of hashes, each of which gives a sample to the sketch
     sketch_words: int = 32  # of 64 bits
-    slack: float = 0.08  # by which an estimate may miss the bar: six deviations
+    slack: float = 0.1  # by which an estimate may miss the bar: over seven deviations, a chance below 1e-12
     estimated: int = 6000  # sizes of two sets, added, from which the estimate decides too
     rounds: int = 3
     seed: int = 23
@@ -194,71 +196,93 @@ def confirmed(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def components(scratch: Scratch, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """The smallest node that each node (column digest) reaches over links (a, b), as `comp`.
+def components(scratch: Scratch, links: DataFrame) -> DataFrame:
+    """The smallest node that each node of links (a, b) reaches, as node, comp.
 
-    Labels go along links and are shortened by following each label's own label; each step is a table of its own.
+    Labels go along links and are shortened by following each label's own label; each step is a table of its own, and
+    as labels at least halve their distance, there are few.
     """
-    labels = scratch.table(nodes.select("digest", F.col("digest").alias("comp")))
     both = scratch.table(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = scratch.table(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("comp")))
     while True:
-        offered = both.join(labels.withColumnRenamed("digest", "b"), "b").groupBy(F.col("a").alias("digest")).agg(F.min("comp").alias("offer"))
-        near = labels.join(offered, "digest", "left").withColumn("next", F.least("comp", F.coalesce("offer", "comp")))
-        ahead = near.select(F.col("digest").alias("next"), F.col("next").alias("jump"))
-        stepped = scratch.table(near.join(ahead, "next", "left").select("digest", F.col("comp").alias("was"), F.least("next", F.coalesce("jump", "next")).alias("comp")))
-        moved = stepped.filter("was != comp").limit(1).count()
+        offered = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("offer"))
+        near = labels.join(offered, "node").withColumn("next", F.least("comp", "offer"))
+        ahead = labels.select(F.col("node").alias("next"), F.col("comp").alias("jump"))
+        stepped = scratch.table(near.join(ahead, "next").select("node", F.col("comp").alias("was"), F.least("next", "jump").alias("comp")))
+        moved = not stepped.filter("was != comp").isEmpty()
         scratch.drop(labels)
-        labels = stepped.select("digest", "comp")
-        labels._quillon_path = stepped._quillon_path
+        labels = stepped
         if not moved:
             scratch.drop(both)
             return labels
 
 
+def relabelled(scratch: Scratch, labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (digest, weight, comp) after links (a, b) between classes: only components are joined, not classes anew."""
+    own = labels.select("digest", "comp")
+    ends = found.join(own.select(F.col("digest").alias("a"), F.col("comp").alias("ca")), "a").join(own.select(F.col("digest").alias("b"), F.col("comp").alias("cb")), "b")
+    merged = components(scratch, ends.filter("ca != cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    new = scratch.table(labels.join(merged.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("digest", "weight", F.coalesce("to", "comp").alias("comp")))
+    scratch.drop(labels, merged)
+    return new
+
+
 def near_classes(scratch: Scratch, signed: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
     """digest, comp of all classes that share a bucket with others. signed: the table of signatures."""
-    spark, n_bands = signed.sparkSession, s.samples // s.band
+    n_bands = s.samples // s.band
     firsts = [F.first(c).alias(a) for c, a in (("n_shingles", "size"), ("picked", "picked"), ("bands", "bands"), ("sketch", "sketch"))]
     classes = scratch.table(signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), *firsts))
-    keys = classes.select("digest", F.posexplode("bands").alias("band", "key")).select("digest", "band", F.xxhash64("band", "key").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    buckets = scratch.table(keys.join(shared, "key"))
-    some = scratch.table(classes.join(buckets.select("digest").distinct(), "digest"))
-    scratch.drop(classes)
+    keys = scratch.table(classes.select("digest", F.posexplode("bands").alias("band", "key")).select("digest", "band", F.xxhash64("band", "key").alias("key")))
+    shared, counts = scratch.recurring(keys, "key")
+    buckets = scratch.table(shared)
+    labels = scratch.table(buckets.join(counts, "key").groupBy("digest").agg(F.sum("n").alias("weight"), F.first("digest").alias("comp")))
+    some = scratch.table(classes.join(labels.select("digest"), "digest"))
+    scratch.drop(classes, keys, counts)
     source = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).filter("rep IS NOT NULL")
     texts = scratch.table(one_text(some, source, s))
-    links = scratch.table(spark.createDataFrame([], "a binary, b binary"))
-    labels = scratch.table(some.select("digest", F.col("digest").alias("comp")))
     sketched = ["digest", "size", "picked", "sketch"]
     left, right = (some.select(*[F.col(c).alias(x if c == "digest" else f"{c}_{x}") for c in sketched]) for x in "ab")
-
-    def first_band() -> F.Column:
-        """The first band that both share."""
-        out = F.when(F.col("bands_a")[0] == F.col("bands_b")[0], 0)
-        for k in range(1, n_bands):
-            out = out.when(F.col("bands_a")[k] == F.col("bands_b")[k], k)
-        return out
-
     for k in range(s.rounds + 1):
         marked = scratch.table(buckets.join(labels, "digest"))
-        hub = F.min(F.struct(F.xxhash64("digest", F.lit(k)).alias("h"), F.col("digest").alias("hub"), F.col("comp").alias("hub_comp"))).alias("m")
-        open_keys = scratch.table(marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).filter("lo != hi").select("key", "m.hub", "m.hub_comp"))
+        lead = F.col("weight") if k == 0 else F.xxhash64("digest", F.lit(k))
+        hub = F.max(F.struct(lead.alias("lead"), F.col("digest").alias("hub"), F.col("comp").alias("hub_comp"))).alias("m")
+        open_keys = scratch.table(marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).filter("lo != hi").select("key", "m.*"))
+        if open_keys.isEmpty():
+            scratch.drop(marked, open_keys)
+            break
         if k < s.rounds:
-            pairs = marked.join(open_keys, "key").filter("comp != hub_comp").select(F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b")).distinct()
-            pairs = pairs.join(left, "a").join(right, "b").filter(alike(s)).select("a", "b")
+            best = F.max(F.struct("lead", "hub")).alias("m")
+            stars = marked.join(open_keys, "key").filter("comp != hub_comp").groupBy("digest").agg(best).select(F.least("digest", "m.hub").alias("a"), F.greatest("digest", "m.hub").alias("b"))
+            pairs = stars.distinct().join(left, "a").join(right, "b").filter(alike(s)).select("a", "b")
         else:
             rest = scratch.table(marked.join(open_keys.select("key"), "key").join(some.select(*sketched, "bands"), "digest"))
-            x, y = (rest.select("key", "band", *[F.col(c).alias(f"{c}_{p}") for c in ("comp", "bands", *sketched)]) for p in "ab")
-            near = (x["key"] == y["key"]) & (F.col("digest_a") < F.col("digest_b")) & (F.col("comp_a") != F.col("comp_b")) & alike(s) & (first_band() == x["band"])
-            pairs = x.join(y, near).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+            pairs = across(rest, n_bands, s)
         found = scratch.table(confirmed(pairs, texts, s))
-        scratch.drop(marked)
-        if found.limit(1).count():
-            links = scratch.table(links.unionByName(found))
-            labels = components(scratch, some, links)
+        if not found.isEmpty():
+            labels = relabelled(scratch, labels, found)
+        scratch.drop(marked, open_keys, found)
+    scratch.drop(buckets, some, texts)
     return labels
 
 
+def across(rest: DataFrame, n_bands: int, s: Settings) -> DataFrame:
+    """Pairs (a, b) across components of a bucket that sizes and sketches allow to be links, each in the first band that both share.
+
+    Of two sets that are links one has at least `percent` of the other's size, so buckets are split at powers of that
+    ratio: the larger set of a pair is looked up in its own class of sizes and the one below.
+    """
+    size_class = F.floor(F.log("size") / float(np.log(100 / s.percent)) - 1e-9).cast("int")
+    kept = ["key", "band", "comp", "bands", "digest", "size", "picked", "sketch"]
+    x, y = (rest.withColumn("at", size_class).select("at", *[F.col(c).alias(f"{c}_{p}") for c in kept]) for p in "ab")
+    y = y.withColumn("at", F.explode(F.array("at", F.col("at") - 1)))
+    first = F.when(F.col("bands_a")[0] == F.col("bands_b")[0], 0)
+    for k in range(1, n_bands):
+        first = first.when(F.col("bands_a")[k] == F.col("bands_b")[k], k)
+    ordered = (F.col("size_a") < F.col("size_b")) | ((F.col("size_a") == F.col("size_b")) & (F.col("digest_a") < F.col("digest_b")))
+    near = (x["key_a"] == y["key_b"]) & (x["at"] == y["at"]) & ordered & (F.col("comp_a") != F.col("comp_b")) & alike(s) & (first == F.col("band_a"))
+    return x.join(y, near).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
+
+
 def one_text(some: DataFrame, source: DataFrame, s: Settings) -> DataFrame:
     """A text of each class. Rows of one id may differ, so each is held against its class's digest."""
     rows = source.join(some.select("rep", "digest"), "rep").select("digest", "text")
@@ -270,7 +294,7 @@ def one_text(some: DataFrame, source: DataFrame, s: Settings) -> DataFrame:
             same = [xxhash.xxh3_128_digest(sets[e - n : e].tobytes()) == d for e, n, d in zip(ends, counts.tolist(), batch.column(0).to_pylist(), strict=True)]
             yield batch.filter(pa.array(same, pa.bool_()))
 
-    return rows.mapInArrow(run, "digest binary, text string")
+    return rows.mapInArrow(run, "digest binary, text string").dropDuplicates(["digest"])
 
 
 def groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -290,10 +314,10 @@ def groups(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 def dedup(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """The rows of docs that are kept; of rows equal in doc_id and text, one."""
-    names, none = docs.columns, F.lit((1 << 63) - 1)
-    kept = groups(docs, s).filter("kept").select(F.coalesce("doc_id", none).alias("quillon_id"), F.col("text_hash").alias("quillon_text")).distinct()
-    rows = docs.withColumns({"quillon_id": F.coalesce(F.col("doc_id").cast("long"), none), "quillon_text": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
-    return rows.join(kept, ["quillon_id", "quillon_text"], "left_semi").dropDuplicates(["quillon_id", "quillon_text"]).select(*names)
+    none, own, text = F.lit((1 << 63) - 1), *fresh(docs.columns, "own_id", "own_text")
+    kept = groups(docs, s).filter("kept").select(F.coalesce("doc_id", none).alias(own), F.col("text_hash").alias(text)).distinct()
+    rows = docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), none), text: F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    return rows.join(kept, [own, text], "left_semi").dropDuplicates([own, text]).select(*columns_of(docs))
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
