@@ -56,14 +56,35 @@ def merges(path: str) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
 
 
 def plain_bpe(word: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """One word alone: the leftmost pair of the lowest rank, again and again."""
-    parts = [word[i : i + 1] for i in range(len(word))]
-    while len(parts) > 1:
-        rank, i = min((ranks.get(parts[i] + parts[i + 1], 1 << 40), i) for i in range(len(parts) - 1))
-        if rank == 1 << 40:
-            break
-        parts[i : i + 2] = [parts[i] + parts[i + 1]]
-    return [ranks[p] for p in parts]
+    """One word alone: the leftmost pair of the lowest rank, again and again, by a heap of pairs."""
+    n = len(word)
+    ends, after, before = list(range(1, n + 1)), list(range(1, n + 1)), list(range(-1, n - 1))  # of the part at each byte
+
+    def pair(i: int) -> tuple[int, int, int] | None:
+        """The rank, place and end of the pair that starts at i."""
+        if after[i] < n and (rank := ranks.get(word[i : ends[after[i]]])) is not None:
+            return rank, i, ends[after[i]]
+        return None
+
+    heap = [p for i in range(n) if (p := pair(i))]
+    heapq.heapify(heap)
+    gone = bytearray(n + 1)
+    while heap:
+        rank, i, end = heapq.heappop(heap)
+        if gone[i] or after[i] >= n or ends[after[i]] != end:
+            continue
+        j = after[i]
+        gone[j], ends[i], after[i] = 1, end, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for k in (before[i], i):
+            if k >= 0 and (p := pair(k)):
+                heapq.heappush(heap, p)
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : ends[i]]])
+        i = after[i]
+    return out
 
 
 def replay(words: list[bytes], path: str) -> list[list[int]]:
@@ -144,7 +165,36 @@ def decode(ids: Iterable[int], path: str) -> bytes:
 #: Bytes of text whose new words make one corpus.
 CORPUS_BYTES = 8 << 20
 
-_TABLES: dict[str, tuple[WordTable, list, list]] = {}
+class Digested(WordTable):
+    """Words with their ids and with what each puts into the digests, which go when the words go."""
+
+    def __init__(self, path: str, limit: int = 500_000):
+        self.path = path
+        super().__init__(lambda words: replay(words, path), [], limit)
+
+    def clear(self) -> None:
+        self.decimal: list[bytes] = []
+        self.decoded: list[bytes] = []
+        super().clear()
+
+    def digested(self) -> tuple[list[bytes], list[bytes]]:
+        """Of every word the decimal ids, each with a comma behind, and the decoded bytes."""
+        for w in range(len(self.decimal), self.n):
+            ids = self.flat[self.offs[w] : self.offs[w] + self.lens[w]].tolist()
+            self.decimal.append("".join(f"{i}," for i in ids).encode())
+            self.decoded.append(decode(ids, self.path))
+        return self.decimal, self.decoded
+
+
+#: A worker's words by vocabulary.
+_TABLES: dict[str, Digested] = {}
+
+
+def table_of(path: str) -> Digested:
+    if path not in _TABLES:
+        _TABLES[path] = Digested(path)
+    return _TABLES[path]
+
 
 TYPES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
@@ -153,18 +203,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text to the count and digest of the ids, and the digest of the bytes decoded from them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, decimal, decoded = _TABLES.setdefault(path, (WordTable(lambda words: replay(words, path), []), [], []))
+        table = table_of(path)
         for batch in batches:
             texts, counts, ids_sha, decoded_sha = texts_of(batch.column(1)), [], [], []
             for lo, hi in blocks(texts, CORPUS_BYTES):
                 buf, starts, lengths, ends = split(texts[lo:hi], pattern)
                 index = table.find(buf, starts, lengths, ends)
-                if table.n < len(decimal):
-                    del decimal[:], decoded[:]
-                for w in range(len(decimal), table.n):  # what each new word puts into the digests
-                    ids = table.flat[table.offs[w] : table.offs[w] + table.lens[w]].tolist()
-                    decimal.append("".join(f"{i}," for i in ids).encode())
-                    decoded.append(decode(ids, path))
+                decimal, decoded = table.digested()
                 n = np.add.reduceat(table.lens[index], np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1]))
                 counts += n.tolist()
                 words, last = index.tolist(), 0
@@ -181,7 +226,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id and text to doc_id and `ids`, for use as training input."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _TABLES.setdefault(path, (WordTable(lambda words: replay(words, path), []), [], []))[0]
+        table = table_of(path)
         for batch in batches:
             texts, out = texts_of(batch.column(1)), []
             for lo, hi in blocks(texts):

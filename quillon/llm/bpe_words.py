@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import regex
 
-from quillon.llm.common import hash_slices
+from quillon.llm.common import hash_slices, same_slices, words_at
 
 L, N, S, O, X = range(5)  # letter, digit, white space, other, end of a text
 END = 0xFF  # no byte of UTF-8
@@ -93,9 +93,10 @@ def split(texts: list[bytes], pattern: str) -> tuple[bytes, np.ndarray, np.ndarr
 
 
 class WordTable:
-    """Ids of the distinct words met so far, word 0 being END. At most `limit` words are kept; then it starts anew.
+    """Ids of the distinct words met so far, word 0 being END. At most `limit` words are kept, and those of one block; then it starts anew.
 
-    encode gets new words and returns a list of ids for each.
+    encode gets new words and returns a list of ids for each. Words are found by a hash of their bytes, and the bytes
+    compared; a word whose hash another one has is found by its bytes alone.
     """
 
     SLOTS = 20
@@ -107,30 +108,43 @@ class WordTable:
     def clear(self) -> None:
         self.keys, self.vals = np.zeros(1 << self.SLOTS, dtype=np.uint64), np.full(1 << self.SLOTS, -1, dtype=np.int32)
         self.spare: dict[int, int] = {}
-        self.n, self.used = 0, 0
+        self.same: dict[bytes, int] = {}  # words whose hash another word has
+        self.n, self.used, self.held = 0, 0, 0
         self.offs, self.lens, self.flat = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 18, dtype=np.uint32)
-        self._append([self.end])
+        self.froms, self.sizes, self.bytes = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 20, dtype=np.uint8)
+        self._append([bytes([END])], [self.end])
 
-    def _append(self, ids: list[list[int]]) -> None:
+    def _append(self, words: list[bytes], ids: list[list[int]]) -> None:
         new = np.fromiter((x for w in ids for x in w), dtype=np.uint32)
-        sizes = np.fromiter(map(len, ids), dtype=np.int32)
+        own = np.frombuffer(b"".join(words), dtype=np.uint8)
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.held + len(own) + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros_like(self.bytes)])
         while self.n + len(ids) > len(self.offs):
-            self.offs, self.lens = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offs, self.lens))
+            self.offs, self.lens, self.froms, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offs, self.lens, self.froms, self.sizes))
+        at = slice(self.n, self.n + len(ids))
         self.flat[self.used : self.used + len(new)] = new
-        self.lens[self.n : self.n + len(ids)] = sizes
-        self.offs[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.n, self.used = self.n + len(ids), self.used + len(new)
+        self.bytes[self.held : self.held + len(own)] = own
+        self.lens[at] = np.fromiter(map(len, ids), dtype=np.int32)
+        self.offs[at] = self.used + np.cumsum(self.lens[at]) - self.lens[at]
+        self.sizes[at] = np.fromiter(map(len, words), dtype=np.int64)
+        self.froms[at] = self.held + np.cumsum(self.sizes[at]) - self.sizes[at]
+        self.n, self.used, self.held = self.n + len(ids), self.used + len(new), self.held + len(own)
 
     def _slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h >> np.uint64(64 - self.SLOTS)).astype(np.int64), (h & np.uint64((1 << self.SLOTS) - 1)).astype(np.int64)
 
+    def _is(self, index: np.ndarray, buf: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether the words at index are the bytes of these slices."""
+        at = np.ndarray((len(self.bytes) - 7,), dtype="<u8", buffer=self.bytes, strides=(1,))
+        return same_slices(at, self.froms[index], self.sizes[index], words_at(buf), starts, lengths)
+
     def find(self, buf: bytes, starts: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The index of each word."""
         if self.n > self.limit:
             self.clear()
-        h = hash_slices(buf, starts, lengths)
+        h = self._hashes(buf, starts, lengths)
         a, b = self._slots(h)
         out = np.where(self.keys[a] == h, self.vals[a], -1)
         left = np.flatnonzero(out < 0)
@@ -146,11 +160,20 @@ class WordTable:
                 at, n = starts[left[first[new]]].tolist(), lengths[left[first[new]]].tolist()
                 words = [buf[s : s + k] for s, k in zip(at, n, strict=True)]
                 got[new] = np.arange(self.n, self.n + len(words))
-                self._append(self.encode(words))
+                self._append(words, self.encode(words))
                 self._keep(unique[new], got[new])
             out[left] = got[where]
+        for k in np.flatnonzero(~self._is(out, buf, starts, lengths)).tolist():
+            word = buf[starts[k] : starts[k] + lengths[k]]
+            if word not in self.same:
+                self.same[word] = self.n
+                self._append([word], self.encode([word]))
+            out[k] = self.same[word]
         return out
 
+    def _hashes(self, buf: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        return hash_slices(buf, starts, lengths)
+
     def _keep(self, h: np.ndarray, index: np.ndarray) -> None:
         for k in range(2):
             slot = self._slots(h)[k]

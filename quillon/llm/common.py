@@ -140,3 +140,15 @@ def hash_slices(buf: bytes, starts: np.ndarray, lengths: np.ndarray) -> np.ndarr
         h[more] = mix(h[more] * _M3 + (at[starts[more] + k] & _TAIL[np.minimum(rest, 8)]))
         more, k = more[rest > 8], k + 8
     return h
+
+
+def same_slices(one: np.ndarray, starts: np.ndarray, lengths: np.ndarray, other: np.ndarray, others: np.ndarray, other_lengths: np.ndarray) -> np.ndarray:
+    """Whether slices of two buffers, given as words_at has them, are the same bytes."""
+    same = lengths == other_lengths
+    left, k = np.flatnonzero(same), 0
+    while left.size:
+        rest = _TAIL[np.minimum(lengths[left] - k, 8)]
+        equal = ((one[starts[left] + k] ^ other[others[left] + k]) & rest) == 0
+        same[left[~equal]] = False
+        left, k = left[equal & (lengths[left] > k + 8)], k + 8
+    return same

@@ -18,7 +18,7 @@ from __future__ import annotations
 import json
 import os
 from collections import defaultdict, deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from zlib import crc32
 
@@ -113,6 +113,7 @@ class Packer:
 
 
 _TABLES: dict[str, WordTable] = {}
+_ADDED: dict[str, tuple[list[bytes], Callable[[bytes], list[int]]]] = {}
 
 
 def byte_of(char: str) -> int:
@@ -134,7 +135,6 @@ def word_table(path: str) -> WordTable:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
         model = json.loads(tokenizer.to_str())["model"]
         vocab = tokenizer.get_vocab(with_added_tokens=False)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
@@ -152,18 +152,24 @@ def word_table(path: str) -> WordTable:
             def encode(words: list[bytes]) -> list[list[int]]:
                 return [x.ids for x in tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
 
+        added = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+        _ADDED[path] = added, lambda text: tokenizer.encode(text.decode(), add_special_tokens=False).ids
         _TABLES[path] = WordTable(encode, [0])
     return _TABLES[path]
 
 
 def tokenised(texts: list[bytes], path: str, pattern: str) -> Iterator[np.ndarray]:
-    """The ids of each text, with the closing 0."""
+    """The ids of each text, with the closing 0. Texts that hold one of the vocabulary's added tokens, which no word may cross, are left to `tokenizers`."""
     table = word_table(path)
+    added, whole = _ADDED[path]
     for lo, hi in blocks(texts):
-        buf, starts, lengths, ends = split(texts[lo:hi], pattern)
+        own = texts[lo:hi]
+        odd = {k for k, t in enumerate(own) if any(a in t for a in added)}
+        buf, starts, lengths, ends = split([b"" if k in odd else t for k, t in enumerate(own)], pattern)
         index = table.find(buf, starts, lengths, ends)
         ids = table.ids(index)
-        yield from np.split(ids, np.cumsum(table.lens[index])[ends][:-1])
+        for k, x in enumerate(np.split(ids, np.cumsum(table.lens[index])[ends][:-1])):
+            yield np.array([*whole(own[k]), 0], dtype=np.uint32) if k in odd else x
 
 
 def pack(docs: DataFrame, tokenizer: str, pattern: str, limits: Limits = Limits()) -> DataFrame:

@@ -10,6 +10,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from quillon.llm import bpe, packing
+from quillon.llm.bpe_words import WordTable, split
 from tests.llm.conftest import ODD
 
 TRICKY = ["don't 's  x\n\n y\n z   ", "'sfoo 'll're've", "  a", "a  ", "\n", "x×y ÷ 1² ½ “q” — …", "日本 語 　x\x85y", "it's''s '' 'd'ouch 're 12ab\x1cx", "a b", "é'té", "Ā'll", "\t'ss", "don'T", "<|endoftext|>"]
@@ -42,6 +43,42 @@ def test_replay_equals_the_library_on_random_words():
     assert all(bpe.decode(x, path) == w for w, x in zip(words, got, strict=True))
 
 
+def test_words_alone_equal_the_library():
+    rng, path = random.Random(2), P.path("byte_bpe_multi_50k.tiktoken")
+    enc, ranks = encoding("byte_bpe_multi_50k.tiktoken"), bpe.load_ranks(path)
+    for w in [bytes(rng.choice(b"abAB an\xc3\xa9the ing") for _ in range(rng.randint(1, 60))) for _ in range(500)]:
+        assert bpe.plain_bpe(w, ranks) == enc._encode_single_piece(w)
+    long = b"thequickbrown" * 80_000  # of a megabyte
+    assert bpe.plain_bpe(long, ranks) == bpe.replay([long], path)[0] and bpe.decode(bpe.plain_bpe(long, ranks), path) == long
+
+
+def test_tables_that_start_anew(table, monkeypatch):
+    path, enc = P.path("byte_bpe_multi_50k.tiktoken"), encoding("byte_bpe_multi_50k.tiktoken")
+    own = bpe.Digested(path, limit=20)
+    texts = [" ".join(f"word{rng.randint(0, 50)}x{k}" for _ in range(30)) for k, rng in enumerate(map(random.Random, range(12)))]
+    for t in [*texts, *texts]:
+        buf, starts, lengths, ends = split([t.encode()], P.PATTERN)
+        index = own.find(buf, starts, lengths, ends)
+        decimal, decoded = own.digested()
+        assert b"".join(decimal[w] for w in index).decode() == "".join(f"{i}," for i in enc.encode_ordinary(t))
+        assert b"".join(decoded[w] for w in index).decode() == t and own.ids(index).tolist() == enc.encode_ordinary(t)
+
+
+def test_words_of_one_hash_are_told_apart(monkeypatch):
+    path, enc = P.path("byte_bpe_multi_50k.tiktoken"), encoding("byte_bpe_multi_50k.tiktoken")
+    monkeypatch.setattr(WordTable, "_hashes", lambda self, buf, starts, lengths: lengths.astype("uint64") + (1 << 50))
+    own = bpe.Digested(path)
+    for t in TEXTS * 2:
+        buf, starts, lengths, ends = split([(t or "").encode()], P.PATTERN)
+        assert own.ids(own.find(buf, starts, lengths, ends)).tolist() == enc.encode_ordinary(t or "")
+
+
+def test_texts_beyond_a_block(table):
+    enc, text = encoding("byte_bpe_multi_50k.tiktoken"), "many words, é and 12 more; " * 100_000
+    got = bpe.encode_decode(table([text, "z"]), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).filter("doc_id = 0").first()
+    assert got["ids_sha256"] == hashlib.sha256(",".join(map(str, enc.encode_ordinary(text))).encode()).hexdigest()
+
+
 def test_ids_column(table):
     enc = encoding("byte_bpe_multi_50k.tiktoken")
     rows = bpe.encode(table(["a b", None]), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
@@ -50,8 +87,8 @@ def test_ids_column(table):
 
 def test_packing_covers_every_id_once(table):
     texts = TEXTS + ["word " * 3000, "many words here " * 700] + ["short"] * 40
+    texts += ["a<|endoftext|>b", "x <|endoftext|>", "<|endoftext|><|endoftext|>\n"]
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
     want = [[*tok.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
     rows = packing.pack(table(texts).coalesce(1), P.path("byte_bpe_50k.json"), P.PATTERN).collect()
     sequences, pieces = defaultdict(list), defaultdict(list)
