@@ -1,14 +1,15 @@
 """WARC archives: a writer with revisit records, and a sequential reader.
 
-Writer. Payloads are grouped by SHA-1 in the JVM: the smallest page_id of each digest is found by an aggregation that
-combines before the shuffle, and joined back on the digest, a join that adaptive execution splits where one payload
-has very many pages. Each page then becomes one gzip member: a `response` record with the HTTP block, or, for a payload
+Writer. Payloads are grouped by SHA-1 in the JVM: the smallest page_id of each digest that several pages have is found by
+an aggregation that combines before the shuffle. The few payloads of very many pages are broadcast to these, the others
+joined on the digest. Each page then becomes one gzip member: a `response` record with the HTTP block, or, for a payload
 that another page holds, a `revisit` record (profile identical-payload-digest) with the HTTP header only. Members are
 put together to archives of about `archive_bytes`; archives are rows (name, content) of a table, so that any store that
 Spark writes holds them and a lost task is redone by Spark's commit protocol. `export` makes .warc.gz files of them.
 
 Reader. One pass over an archive's bytes: zlib decompresses member by member in pieces of fixed size; each record is
-framed by its Content-Length and its digests are verified. What fails is reported in `problem`, not dropped.
+framed by its Content-Length and its digests are verified. What fails is reported in `problem`, not dropped: a damaged or
+cut member, or bytes between members, give one row, and reading goes on at the next member.
 
 Cases: null html is an empty payload; a null page_id is never the smallest unless all of its payload's are null, and
 is read back as null; pages with one page_id and one payload are all responses if theirs is the smallest; null or odd
@@ -78,12 +79,17 @@ def member(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return z.compress("\r\n".join(head).encode() + b"\r\n\r\n") + z.compress(block) + z.compress(b"\r\n\r\n") + z.flush()
 
 
-def write_archives(pages: DataFrame, archive_bytes: int = 4 << 20, level: int = 4, least: int = 0) -> DataFrame:
+def write_archives(pages: DataFrame, archive_bytes: int = 4 << 20, level: int = 4, least: int = 0, hot: int = 10_000) -> DataFrame:
     """page_id, url and html to archives (name, content). Payloads of at least `least` bytes are written once."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.encode("html", "UTF-8"))))
-    firsts = rows.groupBy("digest").agg(F.min("page_id").alias("first_id"))
-    marked = rows.join(firsts, "digest").select("page_id", "url", "html", "first_id")
+    scratch = Scratch(pages.sparkSession, "payloads")
+    firsts = scratch.table(rows.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1"))
+    least_hot = max(hot, (firsts.agg(F.sum("n")).first()[0] or 0) // 1000)  # fewer than a thousand payloads have more pages
+    most = F.broadcast(firsts.filter(F.col("n") > least_hot).select("digest", "first_id"))
+    rest = rows.join(most, "digest", "left_anti").join(firsts.filter(F.col("n") <= least_hot), "digest", "left")
+    alone = F.when(F.col("n").isNull(), F.col("page_id")).otherwise(F.col("first_id")).alias("first_id")
+    marked = rows.join(most, "digest").select("page_id", "url", "html", "first_id").unionByName(rest.select("page_id", "url", "html", alone))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -112,49 +118,58 @@ class Record:
     problem: str | None
 
 
-def inflate(content: bytes) -> Iterator[Iterator[bytes]]:
-    """The members of an archive, each as pieces of what it holds."""
-    view, at = memoryview(content), 0
-    state = {"at": 0}
+_MAGIC = b"\x1f\x8b\x08"
 
-    def pieces() -> Iterator[bytes]:
-        z = zlib.decompressobj(31)
-        while not z.eof:
-            chunk = view[state["at"] : state["at"] + _CHUNK]
-            if not chunk:
-                raise EOFError("the archive ends inside a member")
-            out = z.decompress(chunk)
-            state["at"] += len(chunk) - len(z.unused_data)
-            yield out
 
-    while state["at"] < len(view):
-        at = state["at"]
-        yield pieces()
-        if state["at"] == at:
-            raise ValueError("a member was not read")
+def members(content: bytes) -> Iterator[tuple[bytes, str | None]]:
+    """What the members of an archive hold, in order, each decompressed in pieces; and what is wrong with it."""
+    view, at = memoryview(content), 0
+    while at < len(view):
+        z, out, start, problem = zlib.decompressobj(31), bytearray(), at, None
+        if content[at : at + 3] != _MAGIC:
+            problem = "bytes that are no gzip member"
+        while not problem and not z.eof:
+            chunk = view[at : at + _CHUNK]
+            if not chunk:
+                problem = "the archive ends inside a member"
+                break
+            try:
+                out += z.decompress(chunk)
+            except zlib.error as e:
+                problem = f"a member cannot be decompressed: {e}"
+                break
+            at += len(chunk) - len(z.unused_data)
+        if problem:
+            at = content.find(_MAGIC, start + 1)
+            at = len(view) if at < 0 else at
+        yield bytes(out), problem
 
 
 _LINE = re.compile(rb"([^:\r\n]+):[ \t]*([^\r\n]*)\r\n")
 
 
+def fields(head: bytes) -> dict[str, str]:
+    return {k.decode(errors="replace").lower(): v.decode(errors="replace") for k, v in _LINE.findall(head)}
+
+
+def number(text: str | None) -> int:
+    """A length, or -1 for what is none."""
+    return int(text) if text is not None and text.isascii() and text.isdigit() else -1
+
+
 def records(content: bytes) -> Iterator[Record]:
     """The records of an archive, one gzip member each, in order."""
-    for pieces in inflate(content):
-        buf = bytearray()
-        try:
-            while (end := buf.find(b"\r\n\r\n")) < 0:
-                buf += next(pieces)
-        except StopIteration:
-            yield Record({}, bytes(buf), "no end of the header")
-            continue
-        version, _, rest = bytes(buf[: end + 2]).partition(b"\r\n")
-        headers = {k.decode().lower(): v.decode() for k, v in _LINE.findall(rest)}
-        length = int(headers.get("content-length", -1))
-        for piece in pieces:
-            buf += piece
-        block, tail = bytes(buf[end + 4 : end + 4 + length]), bytes(buf[end + 4 + length :])
-        problem = None
-        if not version.startswith(b"WARC/1."):
+    for whole, problem in members(content):
+        head, found, rest = whole.partition(b"\r\n\r\n")
+        version, _, lines = head.partition(b"\r\n")
+        headers = fields(lines + b"\r\n") if found else {}
+        length = number(headers.get("content-length"))
+        block, tail = (rest[:length], rest[length:]) if length >= 0 else (rest, b"")
+        if problem:
+            pass
+        elif not found:
+            problem = "no end of the header"
+        elif not version.startswith(b"WARC/1."):
             problem = "unknown version"
         elif length < 0 or len(block) != length or tail != b"\r\n\r\n":
             problem = "Content-Length does not frame the record"
@@ -167,13 +182,19 @@ def page_row(r: Record) -> tuple:
     """A row of READ_SCHEMA from a record of HTTP content."""
     digest = r.headers.get("warc-payload-digest", "").removeprefix("sha1:")
     head, _, payload = r.block.partition(b"\r\n\r\n")
-    http = {k.decode().lower(): v.decode() for k, v in _LINE.findall(head.partition(b"\r\n")[2] + b"\r\n")}
+    http = fields(head.partition(b"\r\n")[2] + b"\r\n")
     revisit, problem = r.headers.get("warc-type") == "revisit", r.problem
-    size = int(http.get("content-length", -1)) if revisit else len(payload)
+    size = number(http.get("content-length")) if revisit else len(payload)
     if not problem and not revisit and sha1_base32(payload) != digest:
         problem = "the payload's digest differs"
-    refers = page_of(r.headers["warc-refers-to"]) if revisit else None
-    return page_of(r.headers["warc-record-id"]) if "warc-record-id" in r.headers else None, size, digest, r.headers.get("warc-type"), refers, problem
+    ids = []
+    for name in ("warc-record-id", "warc-refers-to"):
+        try:
+            ids.append(page_of(r.headers[name]) if name in r.headers else None)
+        except ValueError:
+            ids.append(None)
+            problem = problem or f"{name} is no id of a page"
+    return ids[0], size, digest, r.headers.get("warc-type"), ids[1] if revisit else None, problem
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -191,7 +212,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 
 def export(archives: DataFrame, folder: str) -> None:
-    """Writes each archive as a file of its own into a folder that this machine sees."""
+    """Writes each archive as a file of its own into a folder that this machine sees, one after the other: for extracts, not for whole crawls."""
     from pathlib import Path
 
     for r in archives.toLocalIterator():
