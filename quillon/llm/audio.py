@@ -5,8 +5,12 @@ polyphase filter, cut into overlapping frames and turned into log-mel energies.
 threshold, together with their neighbours above a lower one, form segments with time spans. Energies are stored in
 tensors of one fixed shape (frames, bands), the last of a recording filled up with the floor.
 
-Each recording is worked on alone, in pieces of a fixed number of samples, so equal payloads give equal values and a
-long one needs no more memory than its features.
+Each recording is worked on alone, so equal payloads give equal values. Filters and transforms run over pieces of a fixed
+number of samples; what a recording holds besides are its samples as floats, before and after resampling, and its
+features, in all about 20 bytes a sample.
+
+The query stores each recording's features as Arrow's fixed-shape tensors with their time spans, reads these back and
+derives its feature string from them alone.
 
 Cases: a null or empty text gives the least payload, 192 blanks; texts of any length are taken whole; repeated rows
 give the same values; an empty table gives no rows; a null doc_id stays null; other columns are not read.
@@ -37,8 +41,8 @@ PIECE, FRAMES = 1 << 16, 1024
 @dataclass(frozen=True)
 class Settings:
     rate: int = 16_000
-    up: int = 1
-    down: int = 2
+    up: int = 3
+    down: int = 4
     taps: int = 16  # of each phase of the filter
     frame: int = 256
     hop: int = 128
@@ -160,14 +164,40 @@ def analyse(samples: bytes, rate: int, s: Settings = Settings()) -> Features:
     return Features(mel, spans, s.frame / new_rate, hop)
 
 
-def feature_string(f: Features) -> str:
-    """Frames, segments, seconds within segments, and the mean and spread of each band."""
-    mean = f.mel.mean(axis=0, dtype=np.float64)
-    spread = np.sqrt(np.maximum(0, (f.mel.astype(np.float64) ** 2).mean(axis=0) - mean**2))
-    parts = f"{len(f.mel)};{len(f.segments)};{sum(b - a for a, b in f.segments):.3f};"
+def stored(f: Features, s: Settings) -> pa.Buffer:
+    """The features as an Arrow stream: one row a fixed-shape tensor, with its time span, its frames and its segments."""
+    tensors = f.tensors(s.tensor_frames, float(np.log(s.floor)))
+    starts, ends = spans(f, len(tensors), s)
+    frames = [min(s.tensor_frames, len(f.mel) - k * s.tensor_frames) for k in range(len(tensors))]
+    own = [[{"start_s": a, "end_s": b} for a, b in f.segments if lo <= a < lo + s.tensor_frames * f.hop_s] for lo in starts]
+    batch = pa.RecordBatch.from_arrays([pa.FixedShapeTensorArray.from_numpy_ndarray(tensors), pa.array(starts), pa.array(ends), pa.array(frames), pa.array(own, SEGMENTS)], names=["log_mel", "start_s", "end_s", "frames", "segments"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue()
+
+
+def feature_string(stream: pa.Buffer) -> str:
+    """Of a recording as `stored` gives it: frames, segments, seconds within segments, and the mean and spread of each band."""
+    table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+    tensors, frames = table["log_mel"].chunk(0).to_numpy_ndarray(), table["frames"].to_pylist()
+    mel = np.concatenate([t[:n] for t, n in zip(tensors, frames, strict=True)])
+    segments = [x for own in table["segments"].to_pylist() for x in own]
+    mean = mel.mean(axis=0, dtype=np.float64)
+    spread = np.sqrt(np.maximum(0, (mel.astype(np.float64) ** 2).mean(axis=0) - mean**2))
+    parts = f"{len(mel)};{len(segments)};{sum(x['end_s'] - x['start_s'] for x in segments):.3f};"
     return parts + ("%.2f," * (2 * len(mean))) % (*mean.tolist(), *spread.tolist())
 
 
+SEGMENTS = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+
+
+def spans(f: Features, n: int, s: Settings) -> tuple[list[float], list[float]]:
+    """Start and end of each tensor, in seconds."""
+    starts = [k * s.tensor_frames * f.hop_s for k in range(n)]
+    return starts, [min(a + (s.tensor_frames - 1) * f.hop_s, (len(f.mel) - 1) * f.hop_s) + f.frame_s for a in starts]
+
+
 def tensor_rows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     """doc_id and text to fixed-shape tensors with their time spans, and the segments of the recording."""
 
@@ -176,12 +206,11 @@ def tensor_rows(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 f = analyse(*from_wav(to_wav(payload_of(text), s.rate)), s)
                 t = f.tensors(s.tensor_frames, float(np.log(s.floor)))
-                n, step = len(t), s.tensor_frames * f.hop_s
-                starts = [k * step for k in range(n)]
-                ends = [min(k * step + (s.tensor_frames - 1) * f.hop_s, (len(f.mel) - 1) * f.hop_s) + f.frame_s for k in range(n)]
+                n = len(t)
+                starts, ends = spans(f, n, s)
                 flat = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * t[0].size, pa.array(t.ravel()))
-                spans = pa.array([[{"start_s": a, "end_s": b} for a, b in f.segments if a < e and b > b0] for b0, e in zip(starts, ends, strict=True)], pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])))
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(starts), pa.array(ends), flat, spans], names=["doc_id", "tensor", "start_s", "end_s", "log_mel", "segments"])
+                within = pa.array([[{"start_s": a, "end_s": b} for a, b in f.segments if a < e and b > b0] for b0, e in zip(starts, ends, strict=True)], SEGMENTS)
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(starts), pa.array(ends), flat, within], names=["doc_id", "tensor", "start_s", "end_s", "log_mel", "segments"])
 
     schema = "doc_id long, tensor long, start_s double, end_s double, log_mel array<float>, segments array<struct<start_s: double, end_s: double>>"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -207,7 +236,7 @@ def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             for doc, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
                 media = to_wav(payload_of(text), s.rate)
                 samples, rate = from_wav(media)
-                feature = feature_string(analyse(samples, rate, s))
+                feature = feature_string(stored(analyse(samples, rate, s), s))
                 rows.append((doc, len(text), len(samples), hashlib.sha256(samples).hexdigest(), crc32(samples[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows, strict=True), TYPES.types, strict=True)], schema=TYPES)
