@@ -64,9 +64,9 @@ def q_waterfall_lag(spark, d):
     return frames.waterfall(one.unpivot([], ["0", "1", "2"], "step", "remaining").withColumn("step", F.col("step").cast("int")))
 
 
-@query("SELECT doc_id, trim(substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 80)) AS title_key FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, trim(substr(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9 ]', ' ', 'g'), '\\s+', ' ', 'g')), 1, 80)) AS title_key FROM documents")
 def q_title_keys(spark, d):
-    return read(spark, d, "documents").filter("lang = 'en'").select("doc_id", F.trim(title_key(F.col("text"))).alias("title_key"))
+    return read(spark, d, "documents").select("doc_id", F.trim(title_key(F.col("text"))).alias("title_key"))
 
 
 # --- ledgers, labels, review ---
@@ -114,18 +114,22 @@ def q_confidence_bands(spark, d):
 
 # --- linkage ---
 
-_NAMES = "WITH l AS (SELECT p_partkey AS id, p_name || ' ' || p_brand AS label FROM part WHERE p_partkey % 10 = 0), f AS (SELECT id, label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS form FROM l), w AS (SELECT id, list_filter(string_split(form, ' '), lambda x: length(x) >= 2) AS w FROM f), k AS (SELECT id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])))) AS token, w FROM w), tok AS (SELECT id, token, NOT list_contains(w, token) AS is_concat FROM k), idf AS (SELECT token, ln(1 + (SELECT count(*) FROM l) / CAST(count(*) AS DOUBLE)) AS idf FROM tok GROUP BY 1)"
+_NAMES = "WITH l AS (SELECT min(p_partkey) AS id, p_name || ' ' || p_brand AS label FROM part GROUP BY 2), f AS (SELECT id, label, trim(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g')) AS form FROM l), w AS (SELECT id, list_filter(string_split(form, ' '), lambda x: length(x) >= 2) AS w FROM f), k AS (SELECT id, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || w[i + 1])))) AS token, w FROM w), tok AS (SELECT id, token, NOT list_contains(w, token) AS is_concat FROM k), idf AS (SELECT token, ln(1 + (SELECT count(*) FROM l) / CAST(count(*) AS DOUBLE)) AS idf FROM tok GROUP BY 1)"
 
 
 def _labels(spark, d):
-    """A tenth of the parts, as labels: the queries are all-pairs, and this table is their vocabulary."""
-    return read(spark, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("label"))
+    """The different labels of all parts, which are the vocabulary and the queries alike."""
+    return read(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("label")).agg(F.min("p_partkey").alias("id"))
 
 
-@query(_NAMES + ", q AS (SELECT id AS query, token FROM tok WHERE id < 200), total AS (SELECT query, sum(idf) AS total FROM q JOIN idf USING (token) GROUP BY 1), s AS (SELECT query, tok.id, sum(idf) AS shared FROM q JOIN idf USING (token) JOIN tok USING (token) GROUP BY ALL), c AS (SELECT query, id, round(shared / total, 6) AS score FROM s JOIN total USING (query)) SELECT * FROM (SELECT * FROM c WHERE score >= 0.15) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5")
+def _asked(labels):
+    return labels.select(F.col("id").alias("query"), F.col("label").alias("text"))
+
+
+@query(_NAMES + ", q AS (SELECT id AS query, token FROM tok), total AS (SELECT query, sum(idf) AS total FROM q JOIN idf USING (token) GROUP BY 1), s AS (SELECT query, tok.id, sum(idf) AS shared FROM q JOIN idf USING (token) JOIN tok USING (token) GROUP BY ALL), c AS (SELECT query, id, round(shared / total, 6) AS score FROM s JOIN total USING (query)) SELECT * FROM (SELECT * FROM c WHERE score >= 0.15) QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 5")
 def q_token_idf_topk(spark, d):
     labels = _labels(spark, d)
-    hits = linkage.token_idf(labels.filter("id < 200").select(F.col("id").alias("query"), F.col("label").alias("text")), linkage.build_index(labels, generic=[]), k=1 << 30)
+    hits = linkage.token_idf(_asked(labels), linkage.build_index(labels, generic=[]), k=1 << 30)
     hits = hits.withColumn("score", F.round("score", 6)).filter("score >= 0.15")
     return frames.top_per_group(hits, "query", "id", 5, "score").select("query", "id", "score")
 
@@ -133,16 +137,16 @@ def q_token_idf_topk(spark, d):
 _GRAMS = _NAMES + ", g AS (SELECT DISTINCT id, unnest(list_transform(range(1, length(replace(form, ' ', '')) - 1), lambda i: substr(replace(form, ' ', ''), i, 3))) AS gram FROM f), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1)"
 
 
-@query(_GRAMS + ", s AS (SELECT x.id AS query, y.id AS id, count(*) AS s FROM g x JOIN g y USING (gram) WHERE x.id < 200 GROUP BY ALL) SELECT query, s.id, round(s / CAST(a.n + b.n - s AS DOUBLE), 6) AS score FROM s JOIN n a ON a.id = query JOIN n b ON b.id = s.id WHERE s / CAST(a.n + b.n - s AS DOUBLE) >= 0.6")
+@query(_GRAMS + ", s AS (SELECT x.id AS query, y.id AS id, count(*) AS s FROM g x JOIN g y USING (gram) GROUP BY ALL) SELECT query, s.id, round(s / CAST(a.n + b.n - s AS DOUBLE), 6) AS score FROM s JOIN n a ON a.id = query JOIN n b ON b.id = s.id WHERE s / CAST(a.n + b.n - s AS DOUBLE) >= 0.6")
 def q_ngram_jaccard(spark, d):
     labels = _labels(spark, d)
-    hits = linkage.ngram(labels.filter("id < 200").select(F.col("id").alias("query"), F.col("label").alias("text")), linkage.build_index(labels, n=3, generic=[]), k=1 << 30, threshold=0.6)
+    hits = linkage.ngram(_asked(labels), linkage.build_index(labels, n=3, generic=[]), k=1 << 30, threshold=0.6)
     return hits.select("query", "id", F.round("score", 6).alias("score"))
 
 
-@query(_NAMES + ", c AS (SELECT token FROM tok GROUP BY 1 HAVING count(*) BETWEEN 2 AND 12), m AS (SELECT id, sum(idf) AS mass FROM tok JOIN idf USING (token) WHERE NOT is_concat GROUP BY 1), s AS (SELECT x.id AS a, y.id AS b, sum(idf) AS s FROM tok x JOIN tok y ON x.token = y.token AND x.id < y.id JOIN idf ON idf.token = x.token WHERE x.token IN (SELECT token FROM c) GROUP BY ALL) SELECT a, b, round(least(1, s / greatest(least(p.mass, q.mass), 1e-9)), 6) AS score FROM s JOIN m p ON p.id = a JOIN m q ON q.id = b")
+@query(_NAMES + ", c AS (SELECT token FROM tok GROUP BY 1 HAVING count(*) BETWEEN 2 AND 500), m AS (SELECT id, sum(idf) AS mass FROM tok JOIN idf USING (token) WHERE NOT is_concat GROUP BY 1), s AS (SELECT x.id AS a, y.id AS b, sum(idf) AS s FROM tok x JOIN tok y ON x.token = y.token AND x.id < y.id JOIN idf ON idf.token = x.token WHERE x.token IN (SELECT token FROM c) GROUP BY ALL) SELECT a, b, round(least(1, s / greatest(least(p.mass, q.mass), 1e-9)), 6) AS score FROM s JOIN m p ON p.id = a JOIN m q ON q.id = b")
 def q_pairs_scored(spark, d):
-    pairs = linkage.token_pairs(linkage.build_index(_labels(spark, d), generic=[]), most=12)
+    pairs = linkage.token_pairs(linkage.build_index(_labels(spark, d), generic=[]))
     return pairs.select("a", "b", F.round("score", 6).alias("score"))
 
 
@@ -172,9 +176,9 @@ def q_salt_rollup(spark, d):
     return registry.salt_rollup(reg).select(F.col("loser_id").alias("loser"), F.col("winner_id").alias("winner"), "salt_form")
 
 
-@query("WITH k AS (SELECT p_partkey AS id, array_to_string(list_sort(list_distinct(string_split(lower(p_name), ' '))), ' ') AS key FROM part WHERE p_partkey % 20 = 0) SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key AND x.id < y.id WHERE x.key IN (SELECT key FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20)")
+@query("WITH l AS (SELECT min(p_partkey) AS id, p_name || ' ' || p_brand AS label FROM part GROUP BY 2), k AS (SELECT id, array_to_string(list_sort(list_distinct(list_filter(string_split(regexp_replace(lower(label), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> ''))), ' ') AS key FROM l) SELECT x.id AS a, y.id AS b FROM k x JOIN k y ON x.key = y.key AND x.id < y.id WHERE x.key IN (SELECT key FROM k GROUP BY 1 HAVING count(*) BETWEEN 2 AND 20)")
 def q_key_pairs(spark, d):
-    return registry.key_pairs(read(spark, d, "part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    return registry.key_pairs(_labels(spark, d).withColumnRenamed("label", "name"))
 
 
 # --- sources and increments ---

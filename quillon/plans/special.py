@@ -93,10 +93,10 @@ def q_results_posted(spark, d):
     return trials(spark, d, "register", "sponsor", "status", "decision_date", "has_results").filter(f"{COMPLETED} AND has_results").drop("status")
 
 
-@query("SELECT id, CASE WHEN register = 'CTIS' THEN 'https://euclinicaltrials.eu/ctis-public/view/' || CAST(id AS VARCHAR) ELSE 'https://www.clinicaltrialsregister.eu/ctr-search/trial/' || CAST(id AS VARCHAR) END AS link FROM t WHERE id < 100")
+@query("SELECT id, CASE WHEN register = 'CTIS' THEN 'https://euclinicaltrials.eu/ctis-public/view/' || CAST(id AS VARCHAR) ELSE 'https://www.clinicaltrialsregister.eu/ctr-search/trial/' || CAST(id AS VARCHAR) END AS link FROM t")
 def q_trial_links(spark, d):
     link = F.when(F.col("register") == "CTIS", F.concat(F.lit("https://euclinicaltrials.eu/ctis-public/view/"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("https://www.clinicaltrialsregister.eu/ctr-search/trial/"), F.col("id").cast("string")))
-    return trials(spark, d, "register").filter("id < 100").select("id", link.alias("link"))
+    return trials(spark, d, "register").select("id", link.alias("link"))
 
 
 # --- distributions ---
