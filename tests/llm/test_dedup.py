@@ -5,7 +5,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillon.llm import lines, minhash, suffixes
+from quillon.llm import langid, lines, minhash, suffixes
 from tests.llm.conftest import ODD
 
 rng = random.Random(5)
@@ -100,12 +100,33 @@ def test_removed_passages_equal_brute_force(table):
     assert [got[i] for i in range(len(texts))] == passages(texts, 400)
 
 
+def test_shorter_passages_are_told(table):
+    shared = " ".join(words(45))[:300]
+    texts = [" ".join(words(30)) + shared + " ".join(words(30)), shared[:250] + " ".join(words(9)), " ".join(words(60)), shared[:239], None]
+    got = {r["doc_id"]: r for r in suffixes.digests(table(texts)).collect()}
+    assert [got[i]["passage_bytes"] for i in range(5)] == [n for _, n, *_ in passages(texts, 240)] and got[0]["passage_bytes"] >= 250
+    assert all(r["n_removed"] == 0 for r in got.values())
+
+
+def test_columns_with_names_of_our_own(table):
+    base = " ".join(words(60))
+    df = table([base + " one two", base + " one two", "other", None]).withColumnsRenamed({"key": "own_ID", "quillon_extra": "quillon_id", "lang": "quillon_text", "source": "odd.`name"})
+    df = df.selectExpr("*", "1 AS own_text", "2 AS own_kept", "3 AS n_lines", "4 AS own_lines", "5 AS lang_pred", "6 AS Score", "7 AS rejected")
+    model = langid.CompressionClassifier({"aa": b"lorem ipsum dolor sit amet " * 40, "bb": b"w1 w2 w3 w4 w5 other " * 40})
+    for out in (minhash.dedup(df), suffixes.cut(df), lines.dedup(df), langid.identify(df, model), langid.told(df, model)):
+        rows = out.collect()
+        assert out.columns[: len(df.columns)] == df.columns
+        assert all((r["own_ID"], r["quillon_id"], r["own_text"], r["own_kept"], r["n_lines"], r["own_lines"], r["Score"]) == ("x", "y", 1, 2, 3, 4, 6) for r in rows)
+
+
 def test_short_passages_and_pieces(table, monkeypatch):
     monkeypatch.setattr(suffixes, "PIECE", 40)
     texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 120))) for _ in range(25)]
-    sets = suffixes.Settings(12, (8, 2, 1))
-    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.digests(table(texts), sets).collect()}
+    sets = suffixes.Settings(9, (8, 2, 1), 12)
+    rows = suffixes.digests(table(texts), sets).collect()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows}
     assert [got[i] for i in range(len(texts))] == passages(texts, 12)
+    assert {r["doc_id"]: r["passage_bytes"] for r in rows} == {i: n for i, (_, n, *_) in enumerate(passages(texts, 9))}
 
 
 def test_cut_keeps_columns(table):
@@ -142,3 +163,79 @@ def test_short_and_rare_lines_recur(table):
     out = {r["doc_id"]: r["text"] for r in lines.dedup(table(texts)).collect()}
     assert out[0] == texts[0] and all("Read more" not in out[i] and "Page 3 of 10" not in out[i] and own[i] in out[i] and f"Page {i} of 99" in out[i] for i in range(1, 12))
     assert [i for i in out if "rare" in out[i]] == [0] and [i for i in out if "only" in out[i]] == [3, 4]
+
+
+def brute_lines(texts, s):
+    """Which lines go, from the definitions alone; texts by doc_id."""
+
+    def mask(tokens):
+        return tuple("<*>" if re.search("[0-9@]|://", t) else t for t in tokens)
+
+    exact, fields, leaves = {}, {}, {}
+    for i, t in enumerate(texts):
+        for line in (t or "").split("\n"):
+            tokens = tuple(line.split())
+            if len(tokens) < 2:
+                continue
+            m = mask(tokens)
+            exact.setdefault(tokens, set()).add(i)
+            constants = len(m) - m.count("<*>")
+            if m != tokens and constants >= s.least_tokens and 2 * constants >= len(m):
+                fields.setdefault(m, set()).add(i)
+            if len(m) > s.least_constants:
+                leaves.setdefault((0, len(m), m[: s.leading]), {}).setdefault(tokens, set()).add(i)
+                leaves.setdefault((1, len(m), m[-s.leading :]), {}).setdefault(tokens, set()).add(i)
+    distinct = lambda ids: len({texts[i] for i in ids})
+    first = [{k: min(v) for k, v in found.items() if distinct(v) >= least} for found, least in ((exact, s.least_exact), (fields, s.least_docs))]
+    templates = {}
+    for leaf, own in leaves.items():
+        if len(own) < s.least_docs:
+            continue
+        count = {}
+        for tokens in own:
+            for p, t in enumerate(mask(tokens)):
+                count[p, t] = count.get((p, t), 0) + 1
+        for tokens, ids in own.items():
+            made = tuple(t if t != "<*>" and count[p, t] >= max(s.least_docs, s.share * len(own)) else None for p, t in enumerate(mask(tokens)))
+            constants = sum(t is not None for t in made)
+            if constants >= s.least_constants and 3 * constants >= 2 * len(made):
+                templates.setdefault((leaf, made), []).append((tokens, min(ids)))
+    of_line = {}
+    for lines_ in templates.values():
+        if distinct([i for _, i in lines_]) >= s.least_docs:
+            for tokens, _ in lines_:
+                of_line.setdefault(tokens, set()).add(min(i for _, i in lines_))
+    out = []
+    for i, t in enumerate(texts):
+        kept = []
+        for line in (t or "").split("\n"):
+            tokens = tuple(line.split())
+            keepers = {first[0].get(tokens), first[1].get(mask(tokens)), *of_line.get(tokens, ())} - {None}
+            if not keepers - {i}:
+                kept.append(line)
+        out.append("\n".join(kept))
+    return out
+
+
+def test_dropped_lines_equal_brute_force(table):
+    draw, names = random.Random(11), [f"n{'abcdefghij'[k % 10]}{'klmnop'[k // 10]}" for k in range(60)]
+    makes = [
+        lambda: f"Posted by {draw.choice(names)} in local news today",
+        lambda: f"{draw.choice(names)} has sent a message to you",
+        lambda: f"The order of {draw.choice(names)} was shipped by courier {draw.choice(names)} without any delay at all",
+        lambda: f"All rights reserved by us since {draw.randint(1900, 2020)} in {draw.choice(names)} and elsewhere too",
+        lambda: f"Page {draw.randint(1, 30)} of {draw.randint(30, 40)}",
+        lambda: "The order of " + " ".join(draw.choice(names) for _ in range(10)),
+        lambda: " ".join(draw.choice(names[:4]) for _ in range(draw.randint(1, 7))),
+        lambda: draw.choice(["Read more", "ok", "", "  ", "One line that stands in many texts as it is", "Section 12 of the act of 1999 applies"]),
+    ]
+    texts = ["\n".join(draw.choice(makes)() for _ in range(draw.randint(0, 9))) for _ in range(150)] + ODD
+    texts += [texts[3]] * 9
+    s = lines.Settings()
+    got = {r["doc_id"]: r for r in lines.dedup(table(texts), s).collect()}
+    want = brute_lines(texts, s)
+    assert [(got[i]["text"] or "") for i in range(len(texts))] == want
+    gone = [line for t, w in zip(texts, want, strict=True) if t for line in t.split("\n") if line not in w.split("\n")]
+    assert sum("Posted by" in x for x in gone) > 40 and sum("sent a message" in x for x in gone) > 40 and sum("shipped by" in x for x in gone) > 40
+    again = {r["doc_id"]: r["text"] for r in lines.dedup(table(texts), lines.Settings(bitmap=64)).collect()}
+    assert again == {i: r["text"] for i, r in got.items()}  # a bitmap that is full costs work, and nothing else
