@@ -117,7 +117,8 @@ def fold_key(c: Column) -> Column:
 
 
 def clean_sponsor_alias(c: Column) -> Column:
-    return squish(replace_all(F.replace(F.lower(fold_ascii(c)), F.lit("&"), F.lit(" and ")), ("[‘’`´]", "'"), ("[–—−]", "-"), (r"[^\p{L}\p{N}\s/;,'-]", " ")))
+    """Lower case without accents; quotes and dashes of one kind, other punctuation as blanks."""
+    return squish(replace_all(F.lower(fold_ascii(c)), (r"[\u00A0\u200B\u200C\u200D]", " "), ("[‘’`´]", "'"), ("[–—−]", "-"), ("&", " and "), (r"[.,;:(){}\[\]]", " ")))
 
 
 def strip_legal(c: Column) -> Column:
@@ -174,39 +175,6 @@ def contains_tokens(haystack: Column, needle: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), haystack, F.lit(" ")), F.concat(F.lit(" "), needle, F.lit(" ")))
 
 
-def sponsor_ladder(c: Column) -> Column:
-    """Candidates from the raw name to its parts, in the order in which they are tried."""
-    x = clean_sponsor_alias(c)
-    no_address = F.trim(F.regexp_replace(x, r",.*$", ""))
-    no_paren = squish(F.regexp_replace(F.lower(c), r"\([^)]*\)", " "))
-    no_legal = strip_legal(no_address)
-    no_rd = squish(F.regexp_replace(no_legal, r"\b(research and development|r and d|global|international|worldwide)\b", " "))
-    w = F.split(no_rd, " ")
-    heads = [F.array_join(F.slice(w, 1, k), " ") for k in (3, 2, 1)]
-    rungs = F.array(x, no_address, clean_sponsor_alias(no_paren), no_legal, no_rd, F.coalesce(strip_department(x), F.lit("")), *heads, F.element_at(w, -1))
-    return F.array_distinct(F.filter(rungs, lambda r: F.length(r) >= 3))
-
-
-def sponsor_entity_type(c: Column) -> Column:
-    low = fold_translit(c)
-    rules = [("cooperative_group", r"\b(group|groupe|cooperative|network|consortium|gruppo)\b"), ("hospital", CONCEPTS["hospital"]), ("academic", CONCEPTS["university"]), ("foundation", CONCEPTS["foundation"]), ("charity", r"\b(charity|cancer research uk|trust)\b"), ("public_body", r"\b(ministry|agency|council|national institute|assistance publique)\b")]
-    out = F.when(low.rlike(rules[0][1]), rules[0][0])
-    for name, pattern in rules[1:]:
-        out = out.when(low.rlike(pattern), name)
-    return out.otherwise("unknown")
-
-
-def derive_canonical(c: Column) -> Column:
-    """A canonical name by composed rules, with the confidence that each step leaves."""
-    legal = strip_legal(squish(c))
-    bare = squish(F.regexp_replace(F.regexp_replace(legal, r"\([^)]*\)", " "), r",.*$", ""))
-    usable = (F.length(bare) >= 4) & F.exists(words_of(fold_translit(bare)), lambda t: t != "")
-    name = F.when(usable, bare).otherwise(squish(c))
-    rule = F.when(~usable, "kept").when(bare == squish(c), "identity").when(bare == legal, "legal").otherwise("legal+address")
-    confidence = F.when(rule == "identity", 1.0).when(rule == "legal", 0.9).when(rule == "legal+address", 0.7).otherwise(0.3)
-    return F.struct(F.initcap(name).alias("derived"), rule.alias("rule_id"), confidence.alias("confidence"))
-
-
 def clean_alias(c: Column) -> Column:
     return squish(replace_all(F.lower(c), (r"[  ​‌‍]", " "), ("[®™]", ""), ("[‘’]", "'"), ("[–—−]", "-")))
 

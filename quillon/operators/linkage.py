@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import names as N
+from quillon.functions import sponsors as S
 from quillon.operators.frames import first_by
 
 #: Order in which channels win when several find one label.
@@ -183,7 +184,7 @@ def cascade(queries: DataFrame, tiers: list[tuple[str, DataFrame]]) -> DataFrame
 def normalise_sponsors(queries: DataFrame, aliases: DataFrame, overrides: DataFrame, negatives: DataFrame) -> DataFrame:
     """queries: query, text. aliases: alias, canonical. overrides: raw_clean, canonical. negatives: alias."""
     q = queries.withColumn("text", N.clean_sponsor_alias(F.col("text")))
-    ladder = N.sponsor_ladder(F.col("text"))
+    ladder = S.candidates(F.col("text"))
     over = ladder_hit(q, overrides.select(F.col("raw_clean").alias("alias"), "canonical"), ladder).select("query", "canonical", F.lit("accepted").alias("status"))
     neg = q.select("query", F.explode(ladder).alias("alias")).join(negatives.select("alias"), "alias", "left_semi").select("query", F.lit(None).cast("string").alias("canonical"), F.lit("rejected").alias("status")).distinct()
     hit = ladder_hit(q, aliases, ladder).select("query", "canonical", F.when(F.col("ambiguous") | (F.col("score") < 90), "review").otherwise("accepted").alias("status"))
