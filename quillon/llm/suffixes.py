@@ -9,19 +9,21 @@ Sanders do) has a row for each byte of the corpus in its first rounds. Here a ro
    a leader make one run, about 200 of them on average.
 2. Names. A run is cut at multiples of `step` of the distance to the leader. A piece has two names: of the bytes common
    to all its windows (the core), and of the bytes of any of them (the whole), each a fingerprint in place of a rank, so
-   that naming takes no global sort. Cores grow from round to round as steps shrink from 256 to 16 to 1: from 145 bytes
-   over 385 to `length`.
+   that naming takes no global sort. Cores grow from round to round as steps shrink, at 240 bytes
+   from 113 over 225 to all. A piece carries the names for a second, longer length too, so that one set of rounds finds
+   both what the query removes (400 bytes) and passages of over 50 words (240 bytes).
 3. Discarding. A piece whose core is unique has no repeated window and is discarded. Pieces whose wholes are equal are
    repeated in all their windows: these are marked, and one of them goes on as a witness. Pieces that share a core but
    not the whole are cut finer. At step 1 core and whole are one window, so the result is exact but for collisions of
    128 bits of names.
 
-Rows are counted by aggregations that combine before the shuffle and are marked by joins that adaptive execution splits,
-so a passage in a third of all documents is no task's burden; nothing is paired with anything.
+Rows are counted by aggregations that combine before the shuffle. The few commonest cores are broadcast to the rows that
+hold them and the others joined, so a passage in a third of all documents is no task's burden; nothing is paired with
+anything.
 
 Cases: a null text is empty; texts shorter than `length` keep all; equal rows, even with one doc_id, are repeats of each
-other; a passage that overlaps itself counts; rows of null doc_id take part; an empty table gives no rows; other columns
-are kept by `cut`.
+other; a passage that overlaps itself counts; rows of null doc_id take part; an empty table gives no rows; other columns,
+whatever their names, are kept by `cut`.
 """
 
 from __future__ import annotations
@@ -29,22 +31,23 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from quillon.llm.common import Scratch, blocks, mix, read_table, texts_of, words_at
+from quillon.llm.common import Scratch, blocks, columns_of, fresh, map_arrow, mix, read_table, texts_of, words_at
 
 WORD = 8
 #: Bytes of a text whose windows are sampled at a time; copies are cut at the same places.
 PIECE = 4 << 20
 
-NODE = "quillon_id long, quillon_text long, core long, whole long, leader long, near int, far int"
-NODES = pa.schema([("quillon_id", pa.int64()), ("quillon_text", pa.int64()), ("core", pa.int64()), ("whole", pa.int64()), ("leader", pa.int64()), ("near", pa.int32()), ("far", pa.int32())])
+NODE = "quillon_id long, quillon_text long, core long, whole long, long_core long, long_whole long, leader long, near int, long_near int, far int"
+NODES = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in map(str.split, NODE.split(", "))])
 ROW = ["quillon_id", "quillon_text"]
 
 
@@ -52,6 +55,13 @@ ROW = ["quillon_id", "quillon_text"]
 class Settings:
     length: int = 400
     steps: tuple[int, ...] = (256, 16, 1)
+    longer: int = 0  # a second length, found in the same rounds; 0 for none
+
+
+#: Passages of over 50 words: of 51 words in running text, 99 in 100 take more bytes.
+PASSAGE = Settings(240, (128, 16, 1))
+#: Both these and what the query removes.
+BOTH = Settings(240, (128, 16, 1), 400)
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -100,18 +110,29 @@ def signed(h: int) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def named(text: bytes, leader: int, near: int, far: int, step: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """The run's pieces at this step: names of core and whole, least and largest distance."""
+def named(text: bytes, leader: int, near: int, far: int, step: int, s: Settings) -> Iterator[tuple]:
+    """The run's pieces at this step: names of core and whole, at both lengths, least distances at both, largest distance.
+
+    Near a text's end windows of the longer length start no more: these have a larger least distance, or no names.
+    """
+    least = max(near, leader + s.longer - len(text))
     for j in range(near // step, far // step + 1):
         a, b = max(near, j * step), min(far, j * step + step - 1)
-        core = xxh3_64_intdigest(text[leader - j * step : leader - j * step - step + 1 + length], j)
-        yield signed(core), signed(xxh3_64_intdigest(text[leader - b : leader - a + length], b << 16 | a)), a, b
+        at, end = leader - j * step, leader - j * step - step + 1
+        core = signed(xxh3_64_intdigest(text[at : end + s.length], j))
+        whole = signed(xxh3_64_intdigest(text[leader - b : leader - a + s.length], b << 16 | a))
+        c = max(least, a)
+        if s.longer and c <= b:
+            long_core = signed(xxh3_64_intdigest(text[at : end + s.longer], j))
+            yield core, whole, long_core, signed(xxh3_64_intdigest(text[leader - b : leader - c + s.longer], b << 16 | c)), leader, a, c, b
+        else:
+            yield core, whole, None, None, leader, a, None, b
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, own: str = ROW[0], digest: str = ROW[1]) -> DataFrame:
     """docs and what tells rows with different texts apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.withColumns({"quillon_id": F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), "quillon_text": F.xxhash64(text)})
+    return docs.withColumns({own: F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)), digest: F.xxhash64(text)})
 
 
 def pieces(rows: DataFrame, step: int, s: Settings) -> DataFrame:
@@ -127,7 +148,7 @@ def pieces(rows: DataFrame, step: int, s: Settings) -> DataFrame:
                 todo = zip(*(c.tolist() for c in runs(texts, s.length)), strict=True)
             out: list[tuple] = []
             for k, leader, near, far in todo:
-                out += [(ids[k], hashes[k], core, whole, leader, a, b) for core, whole, a, b in named(texts[k], leader, near, far, step, s.length)]
+                out += [(ids[k], hashes[k], *piece) for piece in named(texts[k], leader, near, far, step, s)]
                 if len(out) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), NODES.types, strict=True)], schema=NODES)
                     out = []
@@ -137,30 +158,45 @@ def pieces(rows: DataFrame, step: int, s: Settings) -> DataFrame:
     return rows.select(*ROW, F.col("text").cast("string"), *["runs"] * given).mapInArrow(run, NODE)
 
 
-def repeated(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """Marks (row, start, end) of repeated windows, and the rows with texts that may have any. docs: as keyed() gives them."""
+def resolved(scratch: Scratch, some: DataFrame, core: str, whole: str, near: str, length: int) -> tuple[DataFrame, DataFrame]:
+    """Marks (row, start, end) of pieces whose wholes repeat, and of each different whole of a core that has several one piece's place."""
+    place = F.struct(*ROW, "leader", "near", "far")
+    wholes = scratch.table(some.groupBy(core, whole).agg(F.count("*").alias("n"), F.min(place).alias("one")))
+    twice = some.join(wholes.filter("n > 1").select(core, whole), [core, whole])
+    marks = scratch.table(twice.select(*ROW, (F.col("leader") - F.col("far")).alias("start"), (F.col("leader") - F.col(near) + length).alias("end")))
+    finer, counts = scratch.recurring(wholes, core)
+    places = scratch.table(finer.select("one.*"))
+    scratch.drop(wholes, counts)
+    return marks, places
+
+
+def repeated(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Marks (row, start, end) of repeated windows, those of the longer length, and the rows with texts that may have any. docs: as keyed() gives them.
+
+    Both lengths share runs and rounds: a window that repeats at the longer length starts with one that does at the
+    shorter, with the same leader. Pieces are cut finer while either length needs it.
+    """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    source, marks, texts = docs.select(*ROW, F.col("text").cast("string").alias("text")), [], None
+    source, marks, long_marks, texts = docs.select(*ROW, F.col("text").cast("string").alias("text")), [], [], None
     rows = source
     for step in s.steps:
         nodes = scratch.table(pieces(rows, step, s))
-        shared = nodes.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-        some = scratch.table(nodes.join(shared, "core"))
-        scratch.drop(nodes)
+        shared, counts = scratch.recurring(nodes, "core")
+        some = scratch.table(shared)
+        scratch.drop(nodes, counts)
         if texts is None:
             texts = scratch.table(source.join(some.select(*ROW).distinct(), ROW).dropDuplicates(ROW))
-        place = F.struct(*ROW, "leader", "near", "far")
-        wholes = scratch.table(some.groupBy("core", "whole").agg(F.count("*").alias("n"), F.min(place).alias("one")))
-        twice = some.join(wholes.filter("n > 1").select("core", "whole"), ["core", "whole"])
-        marks.append(scratch.table(twice.select(*ROW, (F.col("leader") - F.col("far")).alias("start"), (F.col("leader") - F.col("near") + s.length).alias("end"))))
+        found, places = resolved(scratch, some, "core", "whole", "near", s.length)
+        marks.append(found)
+        if s.longer:
+            found, more = resolved(scratch, some.filter("long_core IS NOT NULL"), "long_core", "long_whole", "long_near", s.longer)
+            long_marks.append(found)
+            places = places.unionByName(more)
         scratch.drop(some)
-        open_cores = wholes.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-        left = wholes.join(open_cores, "core").select("one.*").groupBy(*ROW).agg(F.collect_list(F.struct("leader", "near", "far")).alias("runs"))
-        rows = texts.join(left, ROW)
-    every = marks[0]
-    for m in marks[1:]:
-        every = every.unionByName(m)
-    return every, texts
+        if step != s.steps[-1]:
+            left = places.groupBy(*ROW).agg(F.collect_set(F.struct("leader", "near", "far")).alias("runs"))
+            rows = texts.join(left, ROW)
+    return reduce(DataFrame.unionByName, marks), reduce(DataFrame.unionByName, long_marks or [marks[0].limit(0)]), texts
 
 
 def joined(spans: list) -> list[tuple[int, int]]:
@@ -182,9 +218,8 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def cuts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def cuts(marks: DataFrame, texts: DataFrame) -> DataFrame:
     """Of rows that lose bytes, once a row's keys: the removed spans, the bytes kept and their digest."""
-    marks, texts = repeated(docs, s)
     spans = marks.groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     types = pa.schema([("quillon_id", pa.int64()), ("quillon_text", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
@@ -200,20 +235,39 @@ def cuts(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     return texts.join(spans, ROW).select(*ROW, "text", "spans").mapInArrow(run, "quillon_id long, quillon_text long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string")
 
 
-def digests(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """doc_id and text to the counts of removed bytes and spans and the digest of what is kept."""
+def covered(spans: Column) -> Column:
+    """The bytes that overlapping spans (start, end) cover."""
+
+    def step(n: Column, x: Column) -> Column:
+        new = F.greatest(x["end"], n["end"]) - F.greatest(x["start"], n["end"])
+        return F.struct((n["bytes"] + new).alias("bytes"), F.greatest(x["end"], n["end"]).alias("end"))
+
+    zero = F.lit(0).cast("long")
+    return F.aggregate(F.array_sort(spans), F.struct(zero.alias("bytes"), zero.alias("end")), step, lambda n: n["bytes"])
+
+
+def digests(docs: DataFrame, s: Settings = BOTH) -> DataFrame:
+    """doc_id and text to the counts of bytes and spans that are removed at the longer length, and the digest of what is kept.
+
+    passage_bytes are the bytes that strings of s.length cover which also start elsewhere.
+    """
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    found = cuts(rows, s).select(*ROW, F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("removed"), F.size("spans").cast("long").alias("n"), F.col("kept_sha256").alias("cut_sha256"))
+    marks, long_marks, texts = repeated(rows, s)
+    short = marks.groupBy(*ROW).agg(covered(F.collect_set(F.struct("start", "end"))).alias("passage_bytes"))
+    found = cuts(long_marks, texts).select(*ROW, F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept_sha256").alias("cut_sha256"))
     slim = rows.select("doc_id", *ROW, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
-    zero = F.lit(0).cast("long")
-    return slim.join(found, ROW, "left").select("doc_id", "n_bytes", F.coalesce("removed", zero).alias("n_removed"), F.coalesce("n", zero).alias("n_spans"), F.coalesce("cut_sha256", "sha256").alias("kept_sha256"))
+    every = slim.join(short.join(found, ROW, "left"), ROW, "left")
+    removed, spans, passage = (F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans", "passage_bytes"))
+    return every.select("doc_id", "n_bytes", removed, spans, F.coalesce("cut_sha256", "sha256").alias("kept_sha256"), passage)
 
 
-def cut(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+def cut(docs: DataFrame, s: Settings = PASSAGE) -> DataFrame:
     """docs without repeated passages in `text`. Characters that lose some of their bytes go whole."""
     names = docs.columns
-    rows = keyed(docs)
-    found = cuts(rows, s).select(*ROW, F.col("kept").alias("quillon_kept"))
+    own, digest, kept = fresh(names, "own_id", "own_text", "own_kept")
+    rows = keyed(docs, own, digest)
+    marks, _, texts = repeated(keyed(docs.select("doc_id", "text")), s)
+    found = cuts(marks, texts).select(F.col(ROW[0]).alias(own), F.col(ROW[1]).alias(digest), F.col("kept").alias(kept))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
@@ -223,7 +277,7 @@ def cut(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == at else batch.column(k) for k in range(len(names))], names=names)
 
     fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
-    return rows.join(found, ROW, "left").select(*names, "quillon_kept").mapInArrow(run, T.StructType(fields))
+    return map_arrow(rows.join(found, [own, digest], "left").select(*columns_of(docs), kept), run, T.StructType(fields))
 
 
 def op6_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
