@@ -109,3 +109,9 @@ def grouping_total(counts: DataFrame, key: str, label: str = "All") -> DataFrame
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of new, and those of old whose key new lacks."""
     return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+
+
+def raw_beside(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row a field of each id: what the source has, and what became of it."""
+    fields = [F.struct(F.lit(name).alias("field"), F.col(raw).cast("string").alias("raw"), F.col(new).cast("string").alias("normalised")) for name, (raw, new) in pairs.items()]
+    return df.select("id", F.explode(F.array(*fields)).alias("f")).select("id", "f.field", "f.raw", "f.normalised")
