@@ -10,8 +10,9 @@ Texts too short for matches compress alike with all dictionaries. Texts of under
 matching, blended over shorter contexts). Under `short` bytes no margin is too narrow, and only a tie is rejected.
 
 Sampling: languages are counted over all rows; a text joins the sample when the hash of its doc_id lies under a
-threshold that lets about `sample_docs` of each language through, and at most that many are kept. These texts, cut to
-`text_chars`, are all that the driver ever holds.
+threshold that lets about `sample_docs` of each language through, and at most that many are kept. Of a text longer than
+`text_chars`, `segments` pieces spread evenly over the whole of it are taken; dictionaries take an equal share of each
+text, again spread. These samples are all that the driver ever holds.
 
 Cases: null text, or one without a letter: `und`, score 0, rejected; no training rows at all: `und`; one language
 only: it, score 1; ties: the language that sorts first; repeated rows: each predicted alike; an empty table gives no
@@ -30,8 +31,9 @@ import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quillon.llm.common import read_table, texts_of
+from quillon.llm.common import columns_of, fresh, map_arrow, read_table, texts_of
 
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -51,12 +53,32 @@ def has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text[:64].decode(errors="ignore")) or _LETTER.search(text.decode()) is not None
 
 
+def spread_over(text: Column, chars: int, segments: int) -> Column:
+    """Texts of up to `chars` characters whole, of longer ones as many characters in segments from start to end."""
+    each = chars // segments
+    at = lambda k: (F.length(text) - each) * k / (segments - 1) + 1
+    pieces = [F.substring(text, at(k).cast("int"), F.lit(each)) for k in range(segments)]
+    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *pieces))
+
+
+def dictionary(texts: list[bytes], most: int) -> bytes:
+    """The texts, joined; of texts that are too long together, each loses bytes at the middle of its pieces alike."""
+    size = sum(map(len, texts)) + len(texts)
+    if size <= most:
+        return b"\n".join(texts)
+    out = []
+    for t in texts:
+        pieces = [t[i : i + 512] for i in range(0, len(t), 512)]
+        out.append(b"".join(p[: max(1, len(p) * most // size - 1)] for p in pieces))
+    return b"\n".join(out)
+
+
 @dataclass
 class CompressionClassifier:
     """Raw-content dictionaries by language."""
 
     dictionaries: dict[str, bytes]
-    levels: tuple[tuple[int, int], ...] = ((512, 12), (4096, 3), (1 << 62, 1))  # texts under so many bytes: zstandard's level
+    level: int = 3  # zstandard's, for dictionaries and all texts
     segment: int = 16_384
     narrow: float = 0.005
     short: int = 64
@@ -66,7 +88,7 @@ class CompressionClassifier:
     _counted: dict = field(default_factory=dict, repr=False)
 
     @classmethod
-    def fit(cls, texts: DataFrame, sample_docs: int = 128, text_chars: int = 4096, dictionary_bytes: int = 98_304, **options) -> CompressionClassifier:
+    def fit(cls, texts: DataFrame, sample_docs: int = 128, text_chars: int = 4096, segments: int = 8, dictionary_bytes: int = 98_304, **options) -> CompressionClassifier:
         """texts: doc_id, text and lang of the training rows."""
         rows = texts.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
         counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -74,27 +96,24 @@ class CompressionClassifier:
             return cls({}, **options)
         share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 2.0 * sample_docs / n))])
         spread = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(1 << 30)) / float(1 << 30)
-        some = rows.filter(spread < F.element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, text_chars).alias("text"), F.xxhash64("doc_id").alias("k"))
+        some = rows.filter(spread < F.element_at(share, F.col("lang"))).select("lang", spread_over(F.col("text"), text_chars, segments).alias("text"), F.xxhash64("doc_id").alias("k"))
         some = some.orderBy("k").limit(4 * sample_docs * len(counts))
         chosen: dict[str, list[str]] = {}
         for r in sorted(some.collect(), key=lambda r: (r["k"], r["text"])):
             if len(own := chosen.setdefault(r["lang"], [])) < sample_docs:
                 own.append(r["text"])
-        return cls({lang: b"\n".join(map(plain, (t.encode() for t in own)))[:dictionary_bytes] for lang, own in sorted(chosen.items())}, **options)
+        return cls({lang: dictionary([plain(t.encode()) for t in own], dictionary_bytes) for lang, own in sorted(chosen.items())}, **options)
 
     def __getstate__(self):
         return {**self.__dict__, "_made": [], "_counted": {}}
 
-    def _compressors(self, size: int) -> list[tuple[str, zstandard.ZstdCompressor]]:
+    def _compressors(self) -> list[tuple[str, zstandard.ZstdCompressor]]:
         if not self._made:
-            for _, level in self.levels:
-                own = []
-                for lang, content in sorted(self.dictionaries.items()):
-                    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                    d.precompute_compress(level=level)
-                    own.append((lang, zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
-                self._made.append(own)
-        return next(own for (most, _), own in zip(self.levels, self._made, strict=True) if size < most)
+            for lang, content in sorted(self.dictionaries.items()):
+                d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                d.precompute_compress(level=self.level)
+                self._made.append((lang, zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
+        return self._made
 
     def _bits(self, text: bytes) -> list[tuple[float, str]]:
         """The bits of a short text by language, fewest first."""
@@ -119,7 +138,7 @@ class CompressionClassifier:
             return UNDETERMINED, 0.0, True
         text = plain(text)
         parts = [text] if len(text) <= self.segment else [text[i : i + self.segment] for i in range(0, len(text), self.segment)]
-        sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in self._compressors(len(text)))
+        sizes = sorted((sum(len(c.compress(p)) for p in parts), lang) for lang, c in self._compressors())
         if len(sizes) == 1:
             return sizes[0][1], 1.0, False
         if len(text) < self.short or sizes[0][0] == sizes[1][0] and len(text) < self.settled:
@@ -129,8 +148,9 @@ class CompressionClassifier:
 
 
 def identify(docs: DataFrame, model: CompressionClassifier) -> DataFrame:
-    """docs and the columns lang_pred, score and rejected (which docs must not have)."""
+    """docs and the columns lang_pred, score and rejected, with underscores behind those that docs has."""
     names = docs.columns
+    new_names = fresh(names, "lang_pred", "score", "rejected")
     given = docs.schema
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,12 +158,16 @@ def identify(docs: DataFrame, model: CompressionClassifier) -> DataFrame:
             at = names.index("text")
             got = [model.predict(t) for t in texts_of(batch.column(at))]
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, *new_names])
+
+    out = T.StructType([*given.fields, *map(T.StructField, new_names, (T.StringType(), T.DoubleType(), T.BooleanType()))])
+    return map_arrow(docs, run, out)
 
-    from pyspark.sql import types as T
 
-    out = T.StructType([*given.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return docs.mapInArrow(run, out)
+def told(docs: DataFrame, model: CompressionClassifier) -> DataFrame:
+    """The rows of docs that are not rejected."""
+    rejected = fresh(docs.columns, "lang_pred", "score", "rejected")[2]
+    return identify(docs, model).filter(~F.col(rejected)).select(*columns_of(docs))
 
 
 def fit_on_unheld(docs: DataFrame, **options) -> CompressionClassifier:
