@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.plans import dashboard, prepared, quality, records, reports, special, sponsor_names
+from quillon.plans import dashboard, prepared, quality, records, registry_names, reports, special, sponsor_names
 from quillon.plans.trials_view import trials
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,5 +16,5 @@ for _name, _spec in {**dashboard.QUERIES, **reports.QUERIES}.items():
     QUERIES[_name] = lambda spark, sf_dir, spec=_spec: spec.run(trials(spark, sf_dir, *spec.needs()))
     ORACLES[_name] = _spec.sql()
 
-QUERIES |= special.QUERIES | records.QUERIES | prepared.QUERIES | quality.QUERIES | sponsor_names.QUERIES
-ORACLES |= special.ORACLES | records.ORACLES | prepared.ORACLES | quality.ORACLES | sponsor_names.ORACLES
+QUERIES |= special.QUERIES | records.QUERIES | prepared.QUERIES | quality.QUERIES | sponsor_names.QUERIES | registry_names.QUERIES
+ORACLES |= special.ORACLES | records.ORACLES | prepared.ORACLES | quality.ORACLES | sponsor_names.ORACLES | registry_names.ORACLES

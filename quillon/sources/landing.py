@@ -83,6 +83,42 @@ def read_padded_csv(spark: SparkSession, path: str, columns: list[str]) -> DataF
     return df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns])
 
 
+def read_optional_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame | None:
+    """As above, or None where nothing is at the path."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return read_padded_csv(spark, path, columns) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else None
+
+
+def read_headed_csv(spark: SparkSession, path: str, wanted: list[str], within: int = 50) -> DataFrame:
+    """A sheet as CSV whose header comes after some lines of other text: the first of `within` lines that has all wanted names."""
+    first = [r["value"] for r in spark.read.text(path).limit(within).collect()]
+    names = lambda line: [c.strip().strip('"').strip().lower() for c in line.split(",")]
+    at = next((k for k, line in enumerate(first) if {w.lower() for w in wanted} <= set(names(line))), None)
+    if at is None:
+        raise ValueError(f"no header with {', '.join(wanted)} in the first {within} lines")
+    header, schema = names(first[at]), T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names(first[at])))])
+    before = first[: at + 1]
+    rows = spark.read.text(path).filter(~F.col("value").isin(before)) if before else spark.read.text(path)
+    parsed = rows.select(F.from_csv("value", ", ".join(f"{f.name} string" for f in schema.fields)).alias("r")).select("r.*").toDF(*header)
+    return parsed.select(*[F.trim(F.col(f"`{w.lower()}`")).alias(w) for w in wanted])
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes beside the old table and then moves the new one into its place, so that readers find the one or the other, whole."""
+    spark = df.sparkSession
+    new, old = (spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{x}") for x in ("new", "old"))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").parquet(f"{path}.new")
+    store.delete(old, True)
+    if store.exists(target) and not store.rename(target, old):
+        raise OSError(f"{path} cannot be moved aside")
+    if not store.rename(new, target):
+        store.rename(old, target)
+        raise OSError(f"{path} cannot be replaced")
+    store.delete(old, True)
+
+
 def assert_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"columns are missing: {', '.join(missing)}")

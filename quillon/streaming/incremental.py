@@ -72,3 +72,47 @@ def run_increment(stream: DataFrame, checkpoint: str, handle: Callable[[DataFram
 def windowed_counts(events: DataFrame, time: str, late: str = "10 minutes", length: str = "1 hour", *keys: str) -> DataFrame:
     """Counts by window, batch or stream; late rows beyond the watermark are not waited for in a stream."""
     return events.withWatermark(time, late).groupBy(F.window(time, length).alias("w"), *keys).agg(F.count("*").alias("n")).select(F.col("w.start").alias("window_start"), *keys, "n")
+
+
+# --- what a run leaves behind ---
+
+RUN = T.StructType([T.StructField("run_id", T.StringType()), T.StructField("ended_at_utc", T.StringType()), T.StructField("status", T.StringType()), *[T.StructField(n, T.LongType()) for n in ("n_new", "n_assigned", "n_deferred")], T.StructField("cost_usd", T.DoubleType()), T.StructField("note", T.StringType())])
+
+
+def record_run(spark: SparkSession, folder: str, **values) -> None:
+    """Appends a row to the log of runs; a run that is recorded already is not recorded again."""
+    row = spark.createDataFrame([tuple(values.get(f.name) for f in RUN.fields)], RUN)
+    if _exists(spark, folder):
+        row = row.join(spark.read.schema(RUN).parquet(folder).select("run_id"), "run_id", "left_anti").select(*RUN.fieldNames())
+    row.write.mode("append").parquet(folder)
+
+
+def runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The log of runs, empty where none is recorded."""
+    return spark.read.schema(RUN).parquet(folder) if _exists(spark, folder) else spark.createDataFrame([], RUN)
+
+
+def write_backlog(todo: DataFrame, impact: DataFrame, path: str) -> None:
+    """What is left to decide, those of most trials first. todo: raw; impact: raw, n_trials."""
+    rows = todo.join(impact, "raw", "left").withColumn("n_trials", F.coalesce("n_trials", F.lit(0)))
+    rows.orderBy(F.desc("n_trials"), "raw").write.mode("overwrite").csv(path, header=True)
+
+
+def take_snapshot(tables: dict[str, DataFrame], root: str, version: str) -> None:
+    """Writes each table under the version. A marker comes last, so that a snapshot that was cut short is none."""
+    spark = next(iter(tables.values())).sparkSession
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
+    spark.range(1).write.mode("overwrite").parquet(f"{root}/{version}/_complete")
+
+
+def snapshot(spark: SparkSession, root: str, version: str, *names: str) -> dict[str, DataFrame]:
+    """The tables of a version, to go back to; raises where the version is not complete."""
+    if not _exists(spark, f"{root}/{version}/_complete"):
+        raise LookupError(f"no complete snapshot {version}")
+    return {n: spark.read.parquet(f"{root}/{version}/{n}") for n in names}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
