@@ -13,7 +13,9 @@ lasso), as a penalty that keeps chance words out also shrinks the weights of the
 whole text is then scored by its words' weights.
 
 Sampling: labels are counted over all labelled rows; hash thresholds let about `sample_rows` / 2 of each through,
-and rows weigh as many as they stand for. Texts of over `most_chars` characters are not learned from, but are scored.
+and rows weigh as many as they stand for. The sampled labels are broadcast, and executors turn the sampled texts into
+counted words; of a text with more than `most_words` different words, those of the least hashes are learned from. Only
+these counts go to the driver, at most 2 * `sample_rows` rows, each as one text and one array.
 
 Cases: a null or empty text has no words and so the severity of the thresholds alone; no labelled rows: severity 0 for
 all; no toxic row: likewise; repeated rows score alike; a doc_id with several labels counts as toxic if one says so;
@@ -30,6 +32,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,15 +83,12 @@ class OrdinalModel:
         return _sigmoid(x - np.array(self.thresholds)).tolist()
 
     @classmethod
-    def fit(cls, texts: list[bytes], toxic: list[int], stands_for: list[float], least_docs: int = 8, least_words: int = 4, deviations: float = 4.5, steps: int = 200) -> OrdinalModel:
+    def fit(cls, counted: Iterable[dict[bytes, int]], lengths: list[int], toxic: list[int], stands_for: list[float], least_docs: int = 8, least_words: int = 4, deviations: float = 4.5, steps: int = 200) -> OrdinalModel:
         if not any(toxic):
             return cls({}, [])
-        word_ids, ids, starts, own, lengths = {}, {}, [0], [], []
+        word_ids, ids, starts, own = {}, {}, [0], []
         flat = array("i")  # feature numbers, word by word
-        for t in texts:
-            ws = words(t)
-            lengths.append(len(ws))
-            n_of = Counter(ws)
+        for n_of in counted:
             for w in n_of:
                 if w not in word_ids:
                     word_ids[w] = len(word_ids)
@@ -120,9 +120,9 @@ class OrdinalModel:
         for i, (ws, times) in enumerate(own):
             f, k = counts(ws, times)
             k, f = k[column[f] >= 0], column[f[column[f] >= 0]]
-            rows.append(np.full(len(f), i))
-            cols.append(f)
-            values.append(k / math.sqrt(max(1.0, lengths[i] / cls.unit)))
+            rows.append(np.full(len(f), i, dtype=np.int32))
+            cols.append(f.astype(np.int32))
+            values.append((k / math.sqrt(max(1.0, lengths[i] / cls.unit))).astype(np.float32))
         rows, cols, values = (np.concatenate(x) for x in (rows, cols, values))
         first = cls._fit(rows, cols, values, toxic, share, names, deviations, steps)
         signs = np.zeros(len(ids), dtype=bool)
@@ -165,7 +165,16 @@ class OrdinalModel:
         return cls({k: float(v) for k, v in zip(names, w, strict=True) if v}, theta.tolist())
 
 
-def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 9000, most_chars: int = 32_768) -> OrdinalModel:
+def counted_words(text: bytes, most: int) -> tuple[dict[bytes, int], int]:
+    """A text's words and how many of each, of many those of the least hashes; and the number of all."""
+    own = words(text)
+    n = Counter(own)
+    if len(n) > most:
+        n = {w: n[w] for w in sorted(n, key=lambda w: (xxhash.xxh3_64_intdigest(w), w))[:most]}
+    return dict(n), len(own)
+
+
+def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 9000, most_words: int = 1000) -> OrdinalModel:
     """docs: doc_id, text; labels: doc_id, toxic (0 or 1)."""
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("toxic") > 0, 1)
     graded = labels.select(F.col("doc_id").cast("long").alias("doc_id"), grade.alias("grade")).filter("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
@@ -176,9 +185,20 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 9000, m
     share = {g: min(1.0, each / n) for g, n in counts.items()}
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     some = graded.filter(spread < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("grade")))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    rows = texts.join(F.broadcast(some), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * sample_rows).collect()
-    return OrdinalModel.fit([r["text"].encode() for r in rows], [r["grade"] for r in rows], [1 / share[r["grade"]] for r in rows])
+    some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample_rows)  # a bound that hashes hardly ever reach
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.col("text").isNotNull())
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [counted_words(t, most_words) for t in texts_of(batch.column(2))]
+            joined = [b" ".join(n).decode() for n, _ in got]
+            times = [np.array(list(n.values()), dtype="<i4").tobytes() for n, _ in got]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(joined, pa.string()), pa.array(times, pa.binary()), pa.array([k for _, k in got], pa.int64())], names=["doc_id", "grade", "words", "times", "n_words"])
+
+    rows = texts.join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, words string, times binary, n_words long")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "n_words", "words").limit(2 * sample_rows).collect()
+    counted = (dict(zip(r["words"].encode().split(), np.frombuffer(r["times"], dtype="<i4").tolist(), strict=True)) for r in rows)  # one row's words at a time
+    return OrdinalModel.fit(counted, [r["n_words"] for r in rows], [r["grade"] for r in rows], [1 / share[r["grade"]] for r in rows])
 
 
 def score(docs: DataFrame, model: OrdinalModel, flag_at: float = 0.25) -> DataFrame:
