@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.lineage import cut
+
 
 def percent(hit: Column, of: Column, digits: int = 1) -> Column:
     """hit as a percentage of `of`, half to even; null where `of` is 0."""
@@ -93,11 +95,22 @@ def waterfall(stages: DataFrame) -> DataFrame:
 
 
 def concentration(df: DataFrame, key: str) -> DataFrame:
-    """Categories by falling count with rank and cumulative percentage."""
-    w = Window.orderBy(F.desc("n"), F.asc(key))
-    counts = df.groupBy(key).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return counts.select(key, "n", F.row_number().over(w).alias("rank"), F.bround(100.0 * F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) / total, 1).alias("cum_pct"))
+    """Categories by falling count with rank and cumulative percentage.
+
+    Categories are dealt in their order to as many ranges as the session has shuffle partitions; each range is summed up
+    by itself, and one row a range says what comes before it.
+    """
+    order = [F.desc("n"), F.asc(key)]
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(df.groupBy(key).agg(F.count("*").alias("n")).repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
+    w = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    before = dealt.groupBy("_range").agg(F.sum("n").alias("_n"), F.count("*").alias("_k"))
+    before = before.select("_range", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_k").over(w), F.lit(0)).alias("_k0"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
+    own = Window.partitionBy("_range").orderBy(*order)
+    out = dealt.join(F.broadcast(before), "_range")  # one row a range
+    rank = (F.col("_k0") + F.row_number().over(own)).cast("int")
+    running = F.col("_n0") + F.sum("n").over(own.rowsBetween(Window.unboundedPreceding, 0))
+    return out.select(key, "n", rank.alias("rank"), F.bround(100.0 * running / F.col("_all"), 1).alias("cum_pct"))
 
 
 def grouping_total(counts: DataFrame, key: str, label: str = "All") -> DataFrame:

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder of spark.checkpoint.dir; where that is unset, as in tests, in one of our own."""
-    context = df.sparkSession.sparkContext
+    """A reliable checkpoint in the folder of spark.checkpoint.dir; where that is unset, on a local master only, in one of our own."""
+    spark = df.sparkSession
+    context = spark.sparkContext
     if not context.getCheckpointDir():
-        own = context.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="quillon-")
-        context.setCheckpointDir(own)
+        given = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not given and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(given or "file://" + tempfile.mkdtemp(prefix="quillon-"))
     return df.checkpoint()

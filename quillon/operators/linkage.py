@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillon.functions import names as N
 from quillon.functions import sponsors as S
 from quillon.operators.frames import first_by
+from quillon.operators.lineage import cut
 
 #: Order in which channels win when several find one label.
 CHANNEL_RANK = {"exact": 1, "structured": 2, "token_idf": 3, "ngram": 4, "acronym": 5}
@@ -35,7 +36,7 @@ def _forms(df: DataFrame) -> DataFrame:
 def build_index(labels: DataFrame, n: int = 4, generic: list[str] | None = None, drop_numeric: bool = False) -> Index:
     """labels: id, label."""
     generic = N.GENERIC if generic is None else generic
-    forms, total = _forms(labels), labels.select("id").distinct().count()
+    forms, total = cut(_forms(labels)), labels.select("id").distinct().count()
     f = F.col("form")
     words, every = N.words_of(f, generic, drop_numeric), N.tokens_of(f, generic, drop_numeric)
     tokens = forms.select("id", F.explode(every).alias("token"), words.alias("w")).select("id", "token", (~F.array_contains("w", F.col("token"))).alias("is_concat"))
@@ -43,7 +44,7 @@ def build_index(labels: DataFrame, n: int = 4, generic: list[str] | None = None,
     idf = tokens.groupBy("token").agg(F.log(1 + F.lit(total) / F.count("*")).alias("idf"))
     grams = forms.select("id", F.explode(N.char_ngrams(f, n)).alias("gram")).filter("gram != ''").distinct()
     acronyms = forms.select("id", N.acronym_of(f).alias("acronym")).filter("acronym IS NOT NULL").distinct()
-    return Index(forms, tokens.join(idf, "token"), grams, acronyms, n, generic, drop_numeric)
+    return Index(forms, cut(tokens.join(idf, "token")), grams, acronyms, n, generic, drop_numeric)
 
 
 def _top(df: DataFrame, k: int) -> DataFrame:
@@ -147,11 +148,38 @@ def pair_graph(index: Index, evidence: DataFrame | None = None, use_ngram: bool
     return out.groupBy("a", "b").agg(best).select("a", "b", "m.score", "m.channel")
 
 
+#: Letters from rare to common in names; what is none of these is rarer still.
+_RARE_FIRST = "zqxjkwyvbfghpdumclstnroiae "
+
+
+def _letters(c: Column) -> Column:
+    """The letters, each with how often it has stood before, rare ones first: a set, of which two names share as many as their letters match at most."""
+    chars = F.filter(F.split(c, ""), lambda x: x != "")
+    counted = F.transform(chars, lambda x, i: F.concat(F.lpad(F.instr(F.lit(_RARE_FIRST), x).cast("string"), 2, "0"), x, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string")))
+    return F.array_sort(counted)
+
+
 def fuzzy(queries: DataFrame, targets: DataFrame, least: float = 0.92) -> DataFrame:
-    """Jaro similarity within the same first letter. queries: query, text; targets: id, target. Generic, short and numbered texts take no part."""
+    """Jaro similarity within the same first letter. queries: query, text; targets: id, target. Generic, short and numbered texts take no part.
+
+    Of two names a share s / |a| + s / |b| >= 3 * least - 1 of letters must match, and one is at most a third longer. So
+    they share one of the rarest letters of each, by which they are found; sharing enough letters is checked before Jaro.
+    """
     ok = lambda c: (F.length(c) >= 6) & ~c.rlike("^[0-9]") & ~c.isin(N.GENERIC)
     q, t = queries.filter(ok(F.col("text"))), targets.filter(ok(F.col("target")))
-    near = q.withColumn("k", F.substring("text", 1, 1)).join(t.withColumn("k", F.substring("target", 1, 1)), "k").filter(F.abs(F.length("text") - F.length("target")) <= F.greatest(F.length("text"), F.length("target")) * 0.25)
+    both = 3 * least - 1
+    matched = both * 0.75 / 1.75  # of a name's letters at least, if the other is three quarters as long or more
+
+    def keyed(df: DataFrame, text: str) -> DataFrame:
+        df = df.withColumn(f"{text}_set", _letters(F.col(text)))
+        n = F.size(f"{text}_set")
+        few = F.slice(f"{text}_set", 1, (n - F.ceil(n * matched - 1e-9) + 1).cast("int"))
+        return df.withColumn("letter", F.explode(few)).withColumn("k", F.substring(text, 1, 1))
+
+    near = keyed(q, "text").join(keyed(t, "target"), ["k", "letter"]).drop("letter").dropDuplicates(["query", "text", "id", "target"])
+    near = near.filter(F.abs(F.length("text") - F.length("target")) <= F.greatest(F.length("text"), F.length("target")) * 0.25)
+    common = F.size(F.array_intersect("text_set", "target_set"))
+    near = near.filter(common / F.length("text") + common / F.length("target") >= both - 1e-9)
     return near.withColumn("score", N.jaro("text", "target")).filter(F.col("score") >= least).select("query", "id", "score")
 
 

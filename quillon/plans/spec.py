@@ -48,25 +48,40 @@ class Counts:
         text = " ".join([*self.keys.values(), *self.explode.values(), self.where, self.after_explode, (self.rate or ("", ""))[1], *self.medians.values()])
         return sorted(ALL_COLUMNS & set(re.findall(r"\w+", text)))
 
-    def run(self, trials: DataFrame) -> DataFrame:
+    def flat(self) -> tuple[str, str] | None:
+        """The name and column of the only explosion, where nothing else reads that column."""
+        if len(self.explode) != 1:
+            return None
+        (name, column), *_ = self.explode.items()
+        text = " ".join([*self.keys.values(), self.where, self.after_explode, (self.rate or ("", ""))[1], *self.medians.values()])
+        others = set(re.findall(r"\w+", text))
+        read = others | {x for c in others if c in DERIVED for x in DERIVED[c][0]}
+        return (name, column) if column in LINES and LINES[column][2] and column not in read else None
+
+    def run(self, trials: DataFrame, exploded: bool = False) -> DataFrame:
+        """trials: with the columns that are needed; exploded: already one row a value of `flat`'s column."""
         df = trials.filter(self.where)
-        for name, column in self.explode.items():
+        for name, column in () if exploded else self.explode.items():
             df = df.withColumn(name, F.explode(column))
         df = df.filter(self.after_explode)
         extra = {"_hit": f"CASE WHEN {self.rate[1]} THEN 1 ELSE 0 END"} if self.rate else {}
         df = df.select("id", *[F.expr(e).alias(k) for k, e in {**self.keys, **extra, **{f"_m_{k}": e for k, e in self.medians.items()}}.items()])
+        if not self.distinct and not self.medians:  # combined once; ranking and keeping read the small result, whose shuffle they share
+            df = df.groupBy(*self.keys).agg(F.count("*").alias("_n"), *([F.sum("_hit").alias("_hit")] if self.rate else []))
+            count, weight = F.sum("_n"), F.sum("_n")
+        else:
+            count, weight = F.countDistinct("id") if self.distinct else F.count("*"), F.count("*")
         if self.top:
             key, n, ties = self.top
-            counted = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+            counted = df.filter(F.col(key).isNotNull()).groupBy(key).agg(weight.alias("_w"))
             if ties:
-                best = counted.withColumn("_r", F.rank().over(Window.orderBy(F.desc("_n")))).filter(F.col("_r") <= n)
+                best = counted.withColumn("_r", F.rank().over(Window.orderBy(F.desc("_w")))).filter(F.col("_r") <= n)
             else:
-                best = counted.orderBy(F.desc("_n"), key).limit(n)
+                best = counted.orderBy(F.desc("_w"), key).limit(n)
             df = df.join(F.broadcast(best.select(key)) if not ties else best.select(key), key, "left_semi")
         if self.totals:
             key, label = self.totals
             df = df.unionByName(df.withColumn(key, F.lit(label)))
-        count = F.countDistinct("id") if self.distinct else F.count("*")
         aggs = [count.cast("long").alias("n")]
         aggs += [F.sum("_hit").cast("long").alias(self.rate[0])] if self.rate else []
         aggs += [F.expr(f"percentile(_m_{k}, 0.5)").alias(k) for k in self.medians]

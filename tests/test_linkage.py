@@ -133,3 +133,30 @@ def test_filter_state():
     assert FilterSpec.from_token(spec.to_token()) == spec
     assert spec.describe()["text"] == "été" and FilterSpec().describe()["status"] == "All"
     assert PRESETS["last_12m"]("2024-05-01").date_range == ("2023-05-01", "2024-05-01")
+
+
+def test_fuzzy_equals_brute_force(spark):
+    import random
+
+    draw = random.Random(3)
+    base = ["".join(draw.choice("abcdeinorst") for _ in range(draw.randint(6, 14))) for _ in range(40)]
+    near = []
+    for w in base:
+        x = list(w)
+        for _ in range(draw.randint(0, 2)):
+            x[draw.randrange(1, len(x))] = draw.choice("abcdeinorst")
+        near.append("".join(x) + draw.choice(["", "s", "en"]))
+    q = spark.createDataFrame(list(enumerate(near)), "query long, text string")
+    t = spark.createDataFrame(list(enumerate(base)), "id long, target string")
+    got = {(r["query"], r["id"]) for r in linkage.fuzzy(q, t, 0.9).collect()}
+    want = {(i, j) for i, a in enumerate(near) for j, b in enumerate(base) if a[0] == b[0] and abs(len(a) - len(b)) <= 0.25 * max(len(a), len(b)) and N.jaro_of(a, b) >= 0.9}
+    assert got == want and len(want) > 20
+
+
+def test_concentration_is_one_order(spark):
+    from quillon.operators import frames
+
+    df = spark.range(5000).selectExpr("CAST(id * id % 97 AS STRING) AS k")
+    rows = frames.concentration(df, "k").orderBy("rank").collect()
+    counts = sorted(((r["n"], r["k"]) for r in rows), key=lambda x: (-x[0], x[1]))
+    assert [(r["n"], r["k"]) for r in rows] == counts and [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and rows[-1]["cum_pct"] == 100.0
