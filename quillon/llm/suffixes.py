@@ -35,7 +35,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
@@ -45,6 +45,8 @@ from quillon.llm.common import Scratch, blocks, columns_of, fresh, map_arrow, mi
 WORD = 8
 #: Bytes of a text whose windows are sampled at a time; copies are cut at the same places.
 PIECE = 4 << 20
+#: Pieces that are named at a time.
+PIECES = 1 << 17
 
 NODE = "quillon_id long, quillon_text long, core long, whole long, long_core long, long_whole long, leader long, near int, long_near int, far int"
 NODES = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in map(str.split, NODE.split(", "))])
@@ -106,27 +108,36 @@ def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+def hashes(buf: bytes, starts: np.ndarray, ends: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """The fingerprint of each slice."""
+    got = (xxh3_64_intdigest(buf[a:b], k) for a, b, k in zip(starts.tolist(), ends.tolist(), seeds.tolist(), strict=True))
+    return np.fromiter(got, dtype=np.uint64, count=len(starts)).view(np.int64)
 
 
-def named(text: bytes, leader: int, near: int, far: int, step: int, s: Settings) -> Iterator[tuple]:
-    """The run's pieces at this step: names of core and whole, at both lengths, least distances at both, largest distance.
+def named(texts: list[bytes], doc: np.ndarray, leader: np.ndarray, near: np.ndarray, far: np.ndarray, step: int, s: Settings) -> Iterator[tuple]:
+    """The runs' pieces at this step, many at a time: text's number, names of core and whole at both lengths, leader, least distances at both, largest distance.
 
     Near a text's end windows of the longer length start no more: these have a larger least distance, or no names.
     """
-    least = max(near, leader + s.longer - len(text))
-    for j in range(near // step, far // step + 1):
-        a, b = max(near, j * step), min(far, j * step + step - 1)
-        at, end = leader - j * step, leader - j * step - step + 1
-        core = signed(xxh3_64_intdigest(text[at : end + s.length], j))
-        whole = signed(xxh3_64_intdigest(text[leader - b : leader - a + s.length], b << 16 | a))
-        c = max(least, a)
-        if s.longer and c <= b:
-            long_core = signed(xxh3_64_intdigest(text[at : end + s.longer], j))
-            yield core, whole, long_core, signed(xxh3_64_intdigest(text[leader - b : leader - c + s.longer], b << 16 | c)), leader, a, c, b
-        else:
-            yield core, whole, None, None, leader, a, None, b
+    buf, sizes = b"".join(texts), np.array([len(t) for t in texts], dtype=np.int64)
+    first, n = near // step, far // step - near // step + 1
+    cuts = np.flatnonzero(np.diff(np.cumsum(n) // PIECES, prepend=-1)).tolist()
+    for lo, hi in zip(cuts, [*cuts[1:], len(n)], strict=True):
+        r = np.repeat(np.arange(lo, hi), n[lo:hi])
+        j = np.arange(len(r)) - np.repeat(np.cumsum(n[lo:hi]) - n[lo:hi], n[lo:hi]) + first[r]
+        a, b, k, own = np.maximum(near[r], j * step), np.minimum(far[r], j * step + step - 1), doc[r], leader[r]
+        at = (np.cumsum(sizes) - sizes)[k] + own
+        core = hashes(buf, at - j * step, at - j * step - step + 1 + s.length, j)
+        whole = hashes(buf, at - b, at - a + s.length, b << 16 | a)
+        c = np.maximum(a, own + s.longer - sizes[k])
+        long = np.flatnonzero(c <= b) if s.longer else np.zeros(0, dtype=np.int64)
+        names, absent = [np.zeros(len(r), dtype=np.int64) for _ in range(2)], np.ones(len(r), dtype=bool)
+        if long.size:
+            x, y, z = at[long], j[long], c[long]
+            names[0][long] = hashes(buf, x - y * step, x - y * step - step + 1 + s.longer, y)
+            names[1][long] = hashes(buf, x - b[long], x - z + s.longer, b[long] << 16 | z)
+            absent[long] = False
+        yield k, core, whole, *(pa.array(x, mask=absent) for x in names), own, a, pa.array(c.astype(np.int32), mask=absent), b
 
 
 def keyed(docs: DataFrame, own: str = ROW[0], digest: str = ROW[1]) -> DataFrame:
@@ -141,43 +152,40 @@ def pieces(rows: DataFrame, step: int, s: Settings) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2))
+            texts = texts_of(batch.column(2))
             if given:
-                todo = ((k, r["leader"], r["near"], r["far"]) for k, own in enumerate(batch.column(3)) for r in own.as_py())
+                lists, flat = batch.column(3), batch.column(3).flatten()
+                doc = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy())
+                todo = (doc, *(flat.field(k).to_numpy().astype(np.int64) for k in range(3)))
             else:
-                todo = zip(*(c.tolist() for c in runs(texts, s.length)), strict=True)
-            out: list[tuple] = []
-            for k, leader, near, far in todo:
-                out += [(ids[k], hashes[k], *piece) for piece in named(texts[k], leader, near, far, step, s)]
-                if len(out) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), NODES.types, strict=True)], schema=NODES)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), NODES.types, strict=True)], schema=NODES)
+                todo = runs(texts, s.length)
+            ids, digests = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for k, *columns in named(texts, *todo, step, s) if len(todo[0]) else ():
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip((ids[k], digests[k], *columns), NODES.types, strict=True)], schema=NODES)
 
     return rows.select(*ROW, F.col("text").cast("string"), *["runs"] * given).mapInArrow(run, NODE)
 
 
 def resolved(scratch: Scratch, some: DataFrame, core: str, whole: str, near: str, length: int) -> tuple[DataFrame, DataFrame]:
-    """Marks (row, start, end) of pieces whose wholes repeat, and of each different whole of a core that has several one piece's place."""
+    """Marks (row, start, end, length) of pieces whose wholes repeat, and of each different whole of a core that has several one piece's place."""
     place = F.struct(*ROW, "leader", "near", "far")
     wholes = scratch.table(some.groupBy(core, whole).agg(F.count("*").alias("n"), F.min(place).alias("one")))
     twice = some.join(wholes.filter("n > 1").select(core, whole), [core, whole])
-    marks = scratch.table(twice.select(*ROW, (F.col("leader") - F.col("far")).alias("start"), (F.col("leader") - F.col(near) + length).alias("end")))
+    marks = scratch.table(twice.select(*ROW, (F.col("leader") - F.col("far")).alias("start"), (F.col("leader") - F.col(near) + length).alias("end"), F.lit(length).alias("length")))
     finer, counts = scratch.recurring(wholes, core)
     places = scratch.table(finer.select("one.*"))
     scratch.drop(wholes, counts)
     return marks, places
 
 
-def repeated(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Marks (row, start, end) of repeated windows, those of the longer length, and the rows with texts that may have any. docs: as keyed() gives them.
+def repeated(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
+    """Marks (row, start, end, length) of repeated windows of both lengths, and the rows with texts that may have any. docs: as keyed() gives them.
 
     Both lengths share runs and rounds: a window that repeats at the longer length starts with one that does at the
     shorter, with the same leader. Pieces are cut finer while either length needs it.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
-    source, marks, long_marks, texts = docs.select(*ROW, F.col("text").cast("string").alias("text")), [], [], None
+    source, marks, texts = docs.select(*ROW, F.col("text").cast("string").alias("text")), [], None
     rows = source
     for step in s.steps:
         nodes = scratch.table(pieces(rows, step, s))
@@ -190,13 +198,13 @@ def repeated(docs: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, Data
         marks.append(found)
         if s.longer:
             found, more = resolved(scratch, some.filter("long_core IS NOT NULL"), "long_core", "long_whole", "long_near", s.longer)
-            long_marks.append(found)
+            marks.append(found)
             places = places.unionByName(more)
         scratch.drop(some)
         if step != s.steps[-1]:
             left = places.groupBy(*ROW).agg(F.collect_set(F.struct("leader", "near", "far")).alias("runs"))
             rows = texts.join(left, ROW)
-    return reduce(DataFrame.unionByName, marks), reduce(DataFrame.unionByName, long_marks or [marks[0].limit(0)]), texts
+    return reduce(DataFrame.unionByName, marks), texts
 
 
 def joined(spans: list) -> list[tuple[int, int]]:
@@ -218,32 +226,42 @@ def kept_bytes(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def cuts(marks: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of rows that lose bytes, once a row's keys: the removed spans, the bytes kept and their digest."""
-    spans = marks.groupBy(*ROW).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    types = pa.schema([("quillon_id", pa.int64()), ("quillon_text", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()), ("kept_sha256", pa.string())])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans, kept = [], []
-            for text, own in zip(texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
-                spans.append(joined([(x["start"], x["end"]) for x in own]))
-                kept.append(kept_bytes(text, spans[-1]))
-            spans = [[{"start": a, "end": b} for a, b in own] for own in spans]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, types.field("spans").type), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], schema=types)
-
-    return texts.join(spans, ROW).select(*ROW, "text", "spans").mapInArrow(run, "quillon_id long, quillon_text long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string")
-
+def merged(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of bytes of the texts of these numbers."""
+    if not len(doc):
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    wide = int(end.max()) + 1
+    reach = np.maximum.accumulate(end + doc * wide)
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = start[1:] + doc[1:] * wide > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:], len(doc)) - 1
+    return doc[new], start[new], reach[last] - doc[last] * wide
 
-def covered(spans: Column) -> Column:
-    """The bytes that overlapping spans (start, end) cover."""
 
-    def step(n: Column, x: Column) -> Column:
-        new = F.greatest(x["end"], n["end"]) - F.greatest(x["start"], n["end"])
-        return F.struct((n["bytes"] + new).alias("bytes"), F.greatest(x["end"], n["end"]).alias("end"))
+def cuts(marks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
+    """Of rows with marks, once a row's keys: passage_bytes, which all marks of s.length cover, and, of the longer length if there is one, the removed spans, the bytes kept and their digest."""
+    spans = marks.groupBy(*ROW).agg(F.collect_list(F.struct("start", "end", "length")).alias("spans"))
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    types = pa.schema([("quillon_id", pa.int64()), ("quillon_text", pa.int64()), ("passage_bytes", pa.int64()), ("spans", pa.list_(span)), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
-    zero = F.lit(0).cast("long")
-    return F.aggregate(F.array_sort(spans), F.struct(zero.alias("bytes"), zero.alias("end")), step, lambda n: n["bytes"])
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, flat = texts_of(batch.column(2)), batch.column(3).flatten()
+            doc = np.repeat(np.arange(len(texts)), batch.column(3).value_lengths().to_numpy())
+            start, end, length = (flat.field(k).to_numpy() for k in range(3))
+            short, own = length == s.length, length == (s.longer or s.length)
+            at, lo, hi = merged(doc[short], start[short], end[short])
+            passage = np.bincount(at, weights=hi - lo, minlength=len(texts)).astype(np.int64)
+            at, lo, hi = merged(doc[own], start[own], end[own])
+            offsets = np.searchsorted(at, np.arange(len(texts) + 1))
+            pairs = list(zip(lo.tolist(), hi.tolist(), strict=True))
+            kept = [kept_bytes(t, pairs[a:b]) for t, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            removed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], fields=list(span)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(passage), removed, pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], schema=types)
+
+    return texts.join(spans, ROW).select(*ROW, "text", "spans").mapInArrow(run, "quillon_id long, quillon_text long, passage_bytes long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string")
 
 
 def digests(docs: DataFrame, s: Settings = BOTH) -> DataFrame:
@@ -252,11 +270,9 @@ def digests(docs: DataFrame, s: Settings = BOTH) -> DataFrame:
     passage_bytes are the bytes that strings of s.length cover which also start elsewhere.
     """
     rows = keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")))
-    marks, long_marks, texts = repeated(rows, s)
-    short = marks.groupBy(*ROW).agg(covered(F.collect_set(F.struct("start", "end"))).alias("passage_bytes"))
-    found = cuts(long_marks, texts).select(*ROW, F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept_sha256").alias("cut_sha256"))
+    found = cuts(*repeated(rows, s), s).select(*ROW, "passage_bytes", F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"]).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.col("kept_sha256").alias("cut_sha256"))
     slim = rows.select("doc_id", *ROW, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
-    every = slim.join(short.join(found, ROW, "left"), ROW, "left")
+    every = slim.join(found, ROW, "left")
     removed, spans, passage = (F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_removed", "n_spans", "passage_bytes"))
     return every.select("doc_id", "n_bytes", removed, spans, F.coalesce("cut_sha256", "sha256").alias("kept_sha256"), passage)
 
@@ -266,8 +282,7 @@ def cut(docs: DataFrame, s: Settings = PASSAGE) -> DataFrame:
     names = docs.columns
     own, digest, kept = fresh(names, "own_id", "own_text", "own_kept")
     rows = keyed(docs, own, digest)
-    marks, _, texts = repeated(keyed(docs.select("doc_id", "text")), s)
-    found = cuts(marks, texts).select(F.col(ROW[0]).alias(own), F.col(ROW[1]).alias(digest), F.col("kept").alias(kept))
+    found = cuts(*repeated(keyed(docs.select("doc_id", "text")), s), s).select(F.col(ROW[0]).alias(own), F.col(ROW[1]).alias(digest), F.col("kept").alias(kept))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index("text")
