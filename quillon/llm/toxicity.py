@@ -95,8 +95,8 @@ class OrdinalModel:
                     flat.extend(ids.setdefault(f, len(ids)) for f in features(w))
                     starts.append(len(flat))
             own.append((np.array([word_ids[w] for w in n_of], dtype=np.int32), np.array(list(n_of.values()), dtype=np.int32)))
-        of_word, starts = np.array(flat, dtype=np.int32), np.array(starts)
-        word_of = np.repeat(np.arange(len(word_ids)), np.diff(starts))
+        of_word, starts, n_own = np.array(flat, dtype=np.int32), np.array(starts), len(word_ids)
+        del word_ids, flat
 
         def counts(ws: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """The features of a text's words, and how many of these have each."""
@@ -114,8 +114,10 @@ class OrdinalModel:
         # a feature that is no commoner in toxic texts than in all cannot be a sign of them
         n_words = np.bincount(of_word, minlength=len(ids))  # a beginning of few words says nothing that these do not
         names = sorted(f for f, i in ids.items() if docs[i] >= least_docs and (n_words[i] >= least_words or not f.startswith(b"^")) and hits[i] > (share * y).sum() * weight[i])
-        column = np.full(len(ids), -1, dtype=np.int64)
-        column[[ids[f] for f in names]] = np.arange(len(names))
+        at, n_features = np.array([ids[f] for f in names], dtype=np.int64), len(ids)
+        del ids
+        column = np.full(n_features, -1, dtype=np.int64)
+        column[at] = np.arange(len(names))
         rows, cols, values = [], [], []
         for i, (ws, times) in enumerate(own):
             f, k = counts(ws, times)
@@ -125,13 +127,13 @@ class OrdinalModel:
             values.append((k / math.sqrt(max(1.0, lengths[i] / cls.unit))).astype(np.float32))
         rows, cols, values = (np.concatenate(x) for x in (rows, cols, values))
         first = cls._fit(rows, cols, values, toxic, share, names, deviations, steps)
-        signs = np.zeros(len(ids), dtype=bool)
-        signs[[ids[f] for f, x in first.weights.items() if x > 0]] = True
-        tells = np.bincount(word_of, weights=signs[of_word], minlength=len(word_ids)) > 0
+        kept = np.array([first.weights.get(f, 0) > 0 for f in names], dtype=bool)
+        signs = np.zeros(n_features, dtype=bool)
+        signs[at[kept]] = True
+        tells = np.bincount(np.repeat(np.arange(n_own), np.diff(starts)), weights=signs[of_word], minlength=n_own) > 0
         found = [int(tells[ws].sum()) for ws, _ in own]
         middle = float(np.median([k for k, t in zip(found, toxic, strict=True) if t and k] or [0]))
         grades = [t and 1 + (k >= max(2, middle)) for t, k in zip(toxic, found, strict=True)]
-        kept = np.array([first.weights.get(f, 0) > 0 for f in names], dtype=bool)
         some = kept[cols] if len(names) else np.zeros(0, dtype=bool)
         return cls._fit(rows[some], (np.cumsum(kept) - 1)[cols[some]], values[some], grades, share, [f for f, k in zip(names, kept, strict=True) if k], deviations / 10, 5 * steps)
 
@@ -142,18 +144,27 @@ class OrdinalModel:
         base = [float(np.clip((share * (y >= j)).sum(), 1e-6, 1 - 1e-6)) for j in range(1, top + 1)]
         theta = np.maximum.accumulate([np.log((1 - p) / p) for p in base])
         w, z, t = np.zeros(m), np.zeros(m), 1.0
-        chance = np.sqrt(base[0] * (1 - base[0]) * np.bincount(cols, weights=(share[rows] * values) ** 2, minlength=m))
-        load = np.bincount(rows, weights=values, minlength=n)
-        rate = 2.0 / max(1e-6, np.bincount(cols, weights=(share * load)[rows] * values, minlength=m).max(initial=0.0))  # by a bound on the curvature
+
+        def summed(at: np.ndarray, size: int, of) -> np.ndarray:
+            """Sums of of(slice) by at, slice by slice, so that nothing else of the matrix's size is held."""
+            out = np.zeros(size)
+            for lo in range(0, len(at), 1 << 20):
+                part = slice(lo, lo + (1 << 20))
+                out += np.bincount(at[part], weights=of(part), minlength=size)
+            return out
+
+        chance = np.sqrt(base[0] * (1 - base[0]) * summed(cols, m, lambda p: (share[rows[p]] * values[p]) ** 2))
+        load = summed(rows, n, lambda p: values[p])
+        rate = 2.0 / max(1e-6, summed(cols, m, lambda p: (share * load)[rows[p]] * values[p]).max(initial=0.0))  # by a bound on the curvature
         for _ in range(steps):
-            x = np.bincount(rows, weights=z[cols] * values, minlength=n)
+            x = summed(rows, n, lambda p: z[cols[p]] * values[p])  # noqa: B023
             # likelihood of a grade: the difference of neighbouring cumulative curves
             cum = np.concatenate([np.ones((n, 1)), _sigmoid(x[:, None] - theta), np.zeros((n, 1))], axis=1)
             slope = cum * (1 - cum)
             p = np.maximum(cum[np.arange(n), y] - cum[np.arange(n), y + 1], 1e-12)
             a, b = slope[np.arange(n), y] / p, slope[np.arange(n), y + 1] / p
             gx = -share * (a - b)
-            g = np.bincount(cols, weights=gx[rows] * values, minlength=m)
+            g = summed(cols, m, lambda p: gx[rows[p]] * values[p])  # noqa: B023
             new = z - rate * g
             new = np.sign(new) * np.maximum(np.abs(new) - rate * deviations * chance, 0)
             t_next = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -197,8 +208,15 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, sample_rows: int = 9000, m
 
     rows = texts.join(F.broadcast(some), "doc_id").select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, words string, times binary, n_words long")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "n_words", "words").limit(2 * sample_rows).collect()
-    counted = (dict(zip(r["words"].encode().split(), np.frombuffer(r["times"], dtype="<i4").tolist(), strict=True)) for r in rows)  # one row's words at a time
-    return OrdinalModel.fit(counted, [r["n_words"] for r in rows], [r["grade"] for r in rows], [1 / share[r["grade"]] for r in rows])
+    known = [(r["n_words"], r["grade"], 1 / share[r["grade"]]) for r in rows]
+    rows.reverse()
+
+    def counted() -> Iterator[dict[bytes, int]]:
+        while rows:  # each row is let go once it is read
+            r = rows.pop()
+            yield dict(zip(r["words"].encode().split(), np.frombuffer(r["times"], dtype="<i4").tolist(), strict=True))
+
+    return OrdinalModel.fit(counted(), *map(list, zip(*known, strict=True))) if known else OrdinalModel()
 
 
 def score(docs: DataFrame, model: OrdinalModel, flag_at: float = 0.25) -> DataFrame:
