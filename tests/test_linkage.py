@@ -139,7 +139,7 @@ def test_fuzzy_equals_brute_force(spark):
     import random
 
     draw = random.Random(3)
-    base = ["".join(draw.choice("abcdeinorst") for _ in range(draw.randint(6, 14))) for _ in range(40)]
+    base = ["".join(draw.choice("abcdeinorst") for _ in range(draw.randint(6, 14))) for _ in range(90)]
     near = []
     for w in base:
         x = list(w)
