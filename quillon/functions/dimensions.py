@@ -68,6 +68,7 @@ STATUS_NAMES = {
 }
 
 # Status categories and the patterns that decide them, in order; what matches none is Not Authorised.
+# Longer statuses that hold one of these words, such as "Ongoing, recruiting" or "Authorised, not started", are not listed again.
 STATUS_CATEGORIES = [
     ("Withdrawn", r"(?i)\bWithdrawn\b"),
     ("Administrative", r"(?i)Trial now transitioned|GB - no longer in EU/EEA"),
@@ -77,7 +78,20 @@ STATUS_CATEGORIES = [
 ]
 
 # Countries by the name that is shown.
-COUNTRIES = """Austria|Belgium|Bulgaria|Croatia|Cyprus|Czech Republic|Denmark|Estonia|Finland|France|Germany|Greece|Hungary|Ireland|Italy|Latvia|Lithuania|Luxembourg|Malta|Netherlands|Poland|Portugal|Romania|Slovakia|Slovenia|Spain|Sweden|Norway|Iceland|Liechtenstein|Switzerland|United Kingdom|Albania|Algeria|Argentina|Armenia|Australia|Azerbaijan|Bangladesh|Belarus|Bolivia|Bosnia and Herzegovina|Brazil|Canada|Chile|China|Colombia|Cuba|Dominican Republic|Ecuador|Egypt|Ethiopia|Georgia|Ghana|Guatemala|India|Indonesia|Iran|Iraq|Israel|Japan|Jordan|Kazakhstan|Kenya|South Korea|Kuwait|Lebanon|Malaysia|Mexico|Moldova|Mongolia|Montenegro|Morocco|Mozambique|Myanmar|Nepal|New Zealand|Nigeria|North Macedonia|Pakistan|Panama|Paraguay|Peru|Philippines|Qatar|Russia|Rwanda|Saudi Arabia|Senegal|Serbia|Singapore|South Africa|Sri Lanka|Taiwan|Tanzania|Thailand|Tunisia|Turkey|Uganda|Ukraine|United Arab Emirates|United States|Uruguay|Uzbekistan|Venezuela|Vietnam|Zambia|Zimbabwe""".split("|")
+COUNTRIES = [
+    "Austria", "Belgium", "Bulgaria", "Croatia", "Cyprus", "Czech Republic", "Denmark", "Estonia", "Finland", "France",
+    "Germany", "Greece", "Hungary", "Ireland", "Italy", "Latvia", "Lithuania", "Luxembourg", "Malta", "Netherlands",
+    "Poland", "Portugal", "Romania", "Slovakia", "Slovenia", "Spain", "Sweden", "Norway", "Iceland", "Liechtenstein",
+    "Switzerland", "United Kingdom", "Albania", "Algeria", "Argentina", "Armenia", "Australia", "Azerbaijan",
+    "Bangladesh", "Belarus", "Bolivia", "Bosnia and Herzegovina", "Brazil", "Canada", "Chile", "China", "Colombia",
+    "Cuba", "Dominican Republic", "Ecuador", "Egypt", "Ethiopia", "Georgia", "Ghana", "Guatemala", "India", "Indonesia",
+    "Iran", "Iraq", "Israel", "Japan", "Jordan", "Kazakhstan", "Kenya", "South Korea", "Kuwait", "Lebanon", "Malaysia",
+    "Mexico", "Moldova", "Mongolia", "Montenegro", "Morocco", "Mozambique", "Myanmar", "Nepal", "New Zealand",
+    "Nigeria", "North Macedonia", "Pakistan", "Panama", "Paraguay", "Peru", "Philippines", "Qatar", "Russia", "Rwanda",
+    "Saudi Arabia", "Senegal", "Serbia", "Singapore", "South Africa", "Sri Lanka", "Taiwan", "Tanzania", "Thailand",
+    "Tunisia", "Turkey", "Uganda", "Ukraine", "United Arab Emirates", "United States", "Uruguay", "Uzbekistan",
+    "Venezuela", "Vietnam", "Zambia", "Zimbabwe",
+]
 
 # Other names of these countries, in lower case.
 COUNTRY_ALIASES = {
@@ -122,3 +136,17 @@ NO_SUBSTANCE = r"(?i)^\d+[,.]?\d*\s*%?\s*(w|w/v|v/v)?$|^dose$|^the placebo|\bpla
 # Doses and salts that are cut from substances before they are matched with decisions.
 DOSE = r"\d+[,.]?\d*\s*(mg|mcg|micrograms?|µg|ug|g|ml|l|%)/?[a-z]*\b"
 SALTS = r"\b(hydrochloride|hydrobromide|sulfate|sulphate|phosphate|acetate|maleate|fumarate|tartrate|citrate|mesylate|tosylate|besylate|monohydrate|dihydrate|trihydrate|sesquihydrate|sodium|potassium|calcium|magnesium|zinc|aluminum|aluminium|monosodium|disodium)\b"
+
+# Patterns that tell the phase of a CTIS record, in lower case and in this order, so that "Phase I/II" is Phase I.
+CTIS_PHASES = {
+    "Phase I": "phase i[^iv]|phase i$|human pharmacology",
+    "Phase IV": "phase iv|therapeutic use",
+    "Phase III": "phase iii|confirmatory",
+    "Phase II": "phase ii|exploratory",
+}
+PHASES = ("Phase I", "Phase II", "Phase III", "Phase IV")
+
+# What flags of the registers look like when they are set, in lower case.
+PHASE_SET = "true|yes|1"
+FLAG_SET = "yes|true"
+ORPHAN_SET = r"\byes\b"

@@ -91,7 +91,7 @@ def has_pip(reg: Column, raw: Column) -> Column:
 
 
 def age_group(reg: Column, under_18: Column, adults: Column, elderly: Column, ctis: Column) -> Column:
-    yes = lambda c: F.lower(F.coalesce(c, F.lit(""))).rlike("yes|true")
+    yes = lambda c: F.lower(F.coalesce(c, F.lit(""))).rlike(D.FLAG_SET)
     own = F.coalesce(ctis, F.lit(""))
     young = F.when(reg == "EUCTR", yes(under_18)).otherwise(own.rlike("0-17"))
     old = F.when(reg == "EUCTR", yes(adults) | yes(elderly)).otherwise(own.rlike(r"18-64|65\+"))
@@ -104,8 +104,7 @@ def sponsor_type(raw: Column) -> Column:
 
 
 def euctr_phase(*flags: Column) -> Column:
-    names = ("Phase I", "Phase II", "Phase III", "Phase IV")
-    on = [F.when(F.lower(f).rlike("true|yes|1"), n) for f, n in zip(flags, names, strict=True)]
+    on = [F.when(F.lower(f).rlike(D.PHASE_SET), n) for f, n in zip(flags, D.PHASES, strict=True)]
     return join_list(F.filter(F.array(*on), lambda x: x.isNotNull()))
 
 
@@ -113,12 +112,12 @@ def ctis_phase(raw: Column) -> Column:
     """One phase by ordered patterns, so that "Phase I/II" is Phase I; other text stays."""
     t = F.trim(raw)
     low = F.lower(t)
-    found = F.when(low.rlike("phase i[^iv]|phase i$|human pharmacology"), "Phase I").when(low.rlike("phase iv|therapeutic use"), "Phase IV").when(low.rlike("phase iii|confirmatory"), "Phase III").when(low.rlike("phase ii|exploratory"), "Phase II")
+    found = F.coalesce(*[F.when(low.rlike(p), name) for name, p in D.CTIS_PHASES.items()])
     return F.coalesce(found, F.nullif(t, F.lit("")))
 
 
 def is_orphan(reg: Column, euctr: Column, ctis: Column) -> Column:
-    return F.when((reg == "EUCTR") & F.lower(F.coalesce(euctr, F.lit(""))).rlike(r"\byes\b"), "Yes").when((reg == "EUCTR") & euctr.isNotNull(), "No").when((reg == "CTIS") & blank_to_null(ctis).isNotNull(), "Yes").otherwise("Unknown")
+    return F.when((reg == "EUCTR") & F.lower(F.coalesce(euctr, F.lit(""))).rlike(D.ORPHAN_SET), "Yes").when((reg == "EUCTR") & euctr.isNotNull(), "No").when((reg == "CTIS") & blank_to_null(ctis).isNotNull(), "Yes").otherwise("Unknown")
 
 
 def is_exploratory_substance(c: Column) -> Column:

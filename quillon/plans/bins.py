@@ -1,25 +1,51 @@
-"""Expressions of display bins, with the order in which they are shown."""
+"""Expressions of display bins, built from their bounds, and the order in which labels are shown."""
 
 from __future__ import annotations
 
-PHASES = ("Phase I", "Phase II", "Phase III", "Phase IV")
+from quillon.functions.dimensions import PHASES
 
-PARTICIPANTS = "CASE WHEN participants_n IS NULL OR participants_n <= 0 THEN NULL WHEN participants_n < 10 THEN '1-9' WHEN participants_n < 100 THEN '10-99' WHEN participants_n < 1000 THEN '100-999' WHEN participants_n < 10000 THEN '1,000-9,999' ELSE '10,000+' END"
-SCOPE = "CASE WHEN n_countries IS NULL THEN NULL WHEN n_countries <= 1 THEN '1' WHEN n_countries = 2 THEN '2' WHEN n_countries <= 5 THEN '3-5' WHEN n_countries <= 9 THEN '6-9' ELSE '10+' END"
-DURATION = "CASE WHEN duration_days IS NULL THEN NULL WHEN duration_days < 183 THEN '<6 months' WHEN duration_days < 365 THEN '6-12 months' WHEN duration_days < 730 THEN '1-2 years' WHEN duration_days < 1095 THEN '2-3 years' ELSE '3+ years' END"
-SPREAD = "CASE WHEN spread_days IS NULL THEN NULL WHEN spread_days = 0 THEN '0 days' WHEN spread_days <= 7 THEN '1-7 days' WHEN spread_days <= 30 THEN '8-30 days' WHEN spread_days <= 90 THEN '31-90 days' ELSE '>90 days' END"
-COUNTRY_GROUP = "CASE WHEN n_countries >= 5 THEN '5+' ELSE CAST(n_countries AS VARCHAR(12)) END"
-RESULTS = "CASE WHEN has_results THEN 'Results reported' WHEN NOT has_results THEN 'No results reported' ELSE 'Unknown' END"
-PROVENANCE = "CASE WHEN register = 'CTIS' AND analysis_register = 'EUCTR' THEN 'CTIS source, EUCTR-era migrated' WHEN register = 'CTIS' THEN 'CTIS source, native CTIS-era' WHEN register = 'EUCTR' THEN 'EUCTR source' ELSE 'Other' END"
-PIP_ORPHAN = "CASE WHEN has_pip = 'Yes' AND is_orphan = 'Yes' THEN 'PIP + Orphan' WHEN has_pip = 'Yes' THEN 'PIP only' WHEN is_orphan = 'Yes' THEN 'Orphan only' ELSE 'Neither' END"
-MONTHS = "duration_days / CAST(30.4375 AS DOUBLE)"
+# A value below a bound has its label, one beyond all bounds the last. Results are compared by these labels.
+BELOW = {
+    "participants_n": [(10, "1-9"), (100, "10-99"), (1000, "100-999"), (10_000, "1,000-9,999"), (None, "10,000+")],
+    "n_countries": [(2, "1"), (3, "2"), (6, "3-5"), (10, "6-9"), (None, "10+")],
+    "duration_days": [(183, "<6 months"), (365, "6-12 months"), (730, "1-2 years"), (1095, "2-3 years"), (None, "3+ years")],
+    "spread_days": [(1, "0 days"), (8, "1-7 days"), (31, "8-30 days"), (91, "31-90 days"), (None, ">90 days")],
+}
+# Labels of results, of where records come from, and of paediatric plans and orphan status.
+RESULT_LABELS = ("Results reported", "No results reported", "Unknown")
+PROVENANCE_LABELS = ("CTIS source, EUCTR-era migrated", "CTIS source, native CTIS-era", "EUCTR source", "Other")
+PIP_ORPHAN_LABELS = ("PIP + Orphan", "PIP only", "Orphan only", "Neither")
+COUNTRY_GROUP_FROM = 5
+DAYS_A_MONTH = 30.4375
+
+
+def binned(column: str, absent: str) -> str:
+    """A CASE of the column's bins; null where `absent` holds."""
+    whens = " ".join(f"WHEN {column} < {bound} THEN '{label}'" for bound, label in BELOW[column][:-1])
+    return f"CASE WHEN {absent} THEN NULL {whens} ELSE '{BELOW[column][-1][1]}' END"
+
+
+def first_of(labels: tuple[str, ...], *conditions: str) -> str:
+    """A CASE of the label of the first condition that holds; the last label is for none."""
+    return "CASE " + " ".join(f"WHEN {c} THEN '{label}'" for c, label in zip(conditions, labels)) + f" ELSE '{labels[-1]}' END"
+
+
+PARTICIPANTS = binned("participants_n", "participants_n IS NULL OR participants_n <= 0")
+SCOPE = binned("n_countries", "n_countries IS NULL")
+DURATION = binned("duration_days", "duration_days IS NULL")
+SPREAD = binned("spread_days", "spread_days IS NULL")
+COUNTRY_GROUP = f"CASE WHEN n_countries >= {COUNTRY_GROUP_FROM} THEN '{COUNTRY_GROUP_FROM}+' ELSE CAST(n_countries AS VARCHAR(12)) END"
+RESULTS = first_of(RESULT_LABELS, "has_results", "NOT has_results")
+PROVENANCE = first_of(PROVENANCE_LABELS, "register = 'CTIS' AND analysis_register = 'EUCTR'", "register = 'CTIS'", "register = 'EUCTR'")
+PIP_ORPHAN = first_of(PIP_ORPHAN_LABELS, "has_pip = 'Yes' AND is_orphan = 'Yes'", "has_pip = 'Yes'", "is_orphan = 'Yes'")
+MONTHS = f"duration_days / CAST({DAYS_A_MONTH} AS DOUBLE)"
 
 #: Display order of each bin's labels.
 ORDER = {
-    "participants": ("1-9", "10-99", "100-999", "1,000-9,999", "10,000+"),
-    "scope": ("1", "2", "3-5", "6-9", "10+"),
-    "duration": ("<6 months", "6-12 months", "1-2 years", "2-3 years", "3+ years"),
-    "spread": ("0 days", "1-7 days", "8-30 days", "31-90 days", ">90 days"),
+    "participants": tuple(label for _, label in BELOW["participants_n"]),
+    "scope": tuple(label for _, label in BELOW["n_countries"]),
+    "duration": tuple(label for _, label in BELOW["duration_days"]),
+    "spread": tuple(label for _, label in BELOW["spread_days"]),
     "phase": PHASES,
     "status": ("Ongoing", "Completed", "Withdrawn", "Not Authorised", "Administrative"),
 }

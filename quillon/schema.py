@@ -20,6 +20,7 @@ def _nested(tree: dict) -> T.StructType:
 
 S = "string"
 
+# The fields of the public registers' records, by the names that they have there.
 #: A record of either register, as the document store holds it.
 TRIAL_DOCUMENT = _nested(
     {
@@ -75,6 +76,7 @@ TRIAL_DOCUMENT = _nested(
 _PART = "authorizedApplication.authorizedPartI"
 _DETAILS = f"{_PART}.trialDetails"
 
+# Paths in these records.
 #: Column of the raw frame to its path in the document.
 PATHS = {
     "a2": "a2_eudract_number",
