@@ -9,8 +9,9 @@ never grows beyond the k-th verified distance, or the k-th that is known from el
 
 1. Bounds. The queries are first searched in one index of a bounded sample: the k-th distance there is no smaller than
    the true one, and limits the radius in every block.
-2. Blocks. Vectors are dealt to blocks by a hash of their id. A block's rows come before the queries, so that its index
-   is built once and the queries stream by in batches; vectors are never copied, and a block gives at most k rows a query.
+2. Blocks. Vectors are dealt to blocks by a hash of their id, each block to a task of its own. A block's rows come before
+   the queries, so that its index is built once and the queries stream by in batches; vectors are never copied, and a
+   block gives at most k rows a query.
 3. The nearest of all blocks are ranked.
 
 Cases: vectors that are null, zero or hold null or non-finite components, and rows of null id, take no part; vectors
@@ -40,8 +41,9 @@ class Settings:
     projections: int = 160
     misses: float = 1.2  # deviations by which a vector at the radius may collide less often than it should
     growth: float = 1.2
-    levels: int = 12  # radii before the one that the bound gives
-    block_rows: int = 32_768
+    levels: int = 5  # radii before the one that the bound gives
+    first_levels: int = 15  # radii before the widest, where there is no bound
+    block_rows: int = 16_384
     sample_rows: int = 8192
     seed: int = 17
 
@@ -106,7 +108,7 @@ class Index:
         rows, dist = np.zeros(0, np.int64), np.zeros(0)
         least = self.apart * 1e-9
         kth = bound if np.isfinite(bound) else self.apart / 4  # no value lies beyond
-        radius = max(least, kth / s.growth**s.levels)
+        radius = max(least, kth / s.growth ** (s.levels if np.isfinite(bound) else s.first_levels))
         while True:
             reach = min(radius, self.apart / 3)
             a, b = (np.clip(x - base, 0, n) for x in (np.searchsorted(self.sorted, at - reach), np.searchsorted(self.sorted, at + reach, side="right")))
@@ -190,7 +192,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, s: Settings = Se
                 sizes = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, sizes)), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
 
-    every = right.select(names).unionByName(left.select(names)).repartition(n_blocks, "b").sortWithinPartitions("dim", "b", "asks")
+    every = right.select(names).unionByName(left.select(names)).repartitionById(n_blocks, "b").sortWithinPartitions("dim", "b", "asks")
     near = every.mapInArrow(run, "query_id long, vec_id long, score double")
     nearest = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return near.withColumn("rank", F.row_number().over(nearest)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -58,7 +58,7 @@ def spread_over(text: Column, chars: int, segments: int) -> Column:
     each = chars // segments
     at = lambda k: (F.length(text) - each) * k / (segments - 1) + 1
     pieces = [F.substring(text, at(k).cast("int"), F.lit(each)) for k in range(segments)]
-    return F.when(F.length(text) <= chars, text).otherwise(F.concat_ws(" ", *pieces))
+    return F.when(text.isNull() | (F.length(text) <= chars), text).otherwise(F.concat_ws(" ", *pieces))
 
 
 def dictionary(texts: list[bytes], most: int) -> bytes:
