@@ -179,3 +179,49 @@ def q_prepared_log(spark, d):
     ctis, euctr = F.col("authorizedApplication.authorizedPartI.sponsors.commercial")[0], F.col("b1_sponsor.b31_and_b32_status_of_the_sponsor")[0]
     raw = documents.select("_id", F.coalesce(ctis, euctr).alias("raw"))
     return P.normalisation_log(prepared(spark, d).join(raw, "_id"), "raw", "sponsor_type")
+
+
+# --- compounds of paediatric decisions ---
+
+
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision for each part, about one of twelve substances."""
+    k = F.col("p_partkey")
+    number = F.format_string("P/%d/%d", k + 1, 2010 + k % 5)
+    columns = {"pip_decision_number": number, "active_substance": F.format_string("Drug %d 5 mg", k % 12), "decision_date": F.format_string("%d-03-%02d", 2010 + k % 5, k % 28 + 1), "decision_type_code": _pick(k, "p", "PM", "w"), "condition": F.col("p_type")}
+    rows = spark.read.parquet(f"{sf_dir}/part.parquet").select(*[c.alias(n) for n, c in columns.items()])
+    return rows.withColumns({c: F.lit(None).cast("string") for c in ("pip_procedure_number", "ema_url")})
+
+
+def compounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trials = prepared(spark, sf_dir)
+    return P.complex_compounds(P.pip_trial_index(trials), P.pip_decision_index(decisions(spark, sf_dir)), trials.select("_id"))
+
+
+_COMPOUNDS = KEPT + """, d AS (SELECT 'drug ' || p_partkey % 12 AS token, count(*) AS n_decisions FROM part GROUP BY 1 HAVING count(*) >= 2),
+ c AS (SELECT token AS substance_token, n_decisions, count(*) AS n_trials, 'Drug ' || (b % 8) || ' sodium' AS substances, 'EUCTR' AS registers, CAST(min(year(day)) AS INT) AS first_year, CAST(max(year(day)) AS INT) AS last_year FROM t JOIN d ON token = 'drug ' || b % 8 WHERE NOT ctis GROUP BY 1, 2, 4)
+"""
+
+
+@query(_COMPOUNDS + "SELECT * FROM c")
+def q_pip_compounds(spark, d):
+    """Compounds with several decisions and the trials that test them."""
+    return compounds(spark, d)
+
+
+@query(_COMPOUNDS + "SELECT * FROM c ORDER BY n_decisions DESC, n_trials DESC, substance_token LIMIT 5")
+def q_pip_compounds_top(spark, d):
+    return compounds(spark, d).orderBy(F.desc("n_decisions"), F.desc("n_trials"), "substance_token").limit(5)
+
+
+@query(_COMPOUNDS + "SELECT substance_token AS value, substances || ' (' || n_decisions || ' decisions, ' || n_trials || ' trials)' AS label FROM c")
+def q_pip_compound_choices(spark, d):
+    """What a reader chooses a compound from."""
+    label = F.format_string("%s (%d decisions, %d trials)", "substances", "n_decisions", "n_trials")
+    return compounds(spark, d).select(F.col("substance_token").alias("value"), label.alias("label"))
+
+
+@query("SELECT printf('P/%d/%d', p_partkey + 1, 2010 + p_partkey % 5) AS pip_decision_label, upper(['p', 'PM', 'w'][CAST(p_partkey % 3 AS INT) + 1]) AS decision_type_code, printf('%d-03-%02d', 2010 + p_partkey % 5, p_partkey % 28 + 1) AS decision_date, 'Drug 3 5 mg' AS active_substance, p_type AS condition FROM part WHERE p_partkey % 12 = 3")
+def q_pip_compound_decisions(spark, d):
+    """All decisions of one compound."""
+    return P.compound_decisions(P.pip_decision_index(decisions(spark, d)), "drug 3")

@@ -66,6 +66,13 @@ def q_filters(spark, d):
     return SPEC.apply(trials(spark, d, "status", "submission_date", "countries", "phases", "age_group", "has_pip", "is_orphan", "terms", "substances")).select("id", "status", "submission_date")
 
 
+@query("SELECT id FROM t WHERE regexp_matches(array_to_string(organs, ' / '), '(?i)STAND.RD|PROMO') AND regexp_matches(array_to_string(countries, ' / '), '(?i)NATION_1') AND regexp_matches(array_to_string(phases, ' / '), '(?i)Phase I')")
+def q_filters_parity(spark, d):
+    """Selections as patterns and substrings: "NATION_1" is found in "NATION_12", "Phase I" in "Phase IV"."""
+    spec = FilterSpec(organ_class=["STAND.RD", "PROMO"], country=["NATION_1"], phase=["Phase I"], parity=True)
+    return spec.apply(trials(spark, d, "organs", "countries", "phases")).select("id")
+
+
 @query("SELECT (SELECT count(*) FROM t WHERE status = 'Completed' AND n_countries = 1) AS filtered, (SELECT count(*) FROM t) AS total")
 def q_trial_count_bar(spark, d):
     return trials(spark, d, "status", "n_countries").agg(F.count_if(FilterSpec(status=["Completed"], mononational=True).predicate(["status", "n_countries"])).alias("filtered"), F.count("*").alias("total"))
