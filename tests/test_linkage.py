@@ -160,3 +160,14 @@ def test_concentration_is_one_order(spark):
     rows = frames.concentration(df, "k").orderBy("rank").collect()
     counts = sorted(((r["n"], r["k"]) for r in rows), key=lambda x: (-x[0], x[1]))
     assert [(r["n"], r["k"]) for r in rows] == counts and [r["rank"] for r in rows] == list(range(1, len(rows) + 1)) and rows[-1]["cum_pct"] == 100.0
+
+
+def test_large_components_give_the_same_canopies(spark):
+    import random
+
+    draw = random.Random(9)
+    nodes = spark.createDataFrame([(k, float(draw.randint(1, 6))) for k in range(60)], "id long, weight double")
+    edges = {(min(a, b), max(a, b)) for a, b in ((draw.randrange(60), draw.randrange(60)) for _ in range(90)) if a != b}
+    pairs = spark.createDataFrame([(a, b, round(draw.uniform(0.3, 1), 2)) for a, b in sorted(edges)], "a long, b long, score double")
+    one = dict(graph.canopies(nodes, pairs, 0.5, 4).collect())
+    assert dict(graph.canopies(nodes, pairs, 0.5, 4, at_once=0).collect()) == one and len(one) == 60 and len(set(one.values())) > 10
