@@ -15,8 +15,10 @@
    connected: sketches and sizes first, then the full sets. A bucket's first hub is its class that shares buckets with
    most others, which the members of a group of copies have in common; later ones are drawn by hash. Components are
    updated, and buckets in one component retire. So a group of thousands of near copies costs a few comparisons a member.
-4. Rest. In buckets that still hold several components, split by the sizes of sets, pairs across components whose
-   sketches allow a link are compared, each in the first band that both share: no link is lost to the choice of hubs.
+4. Rest. In buckets that still hold several components, pairs across components whose sizes and sketches allow a link
+   are compared, each in the first band that both share: no link is lost to the choice of hubs. Small buckets are joined
+   with themselves, split by the sizes of sets; the classes of large ones are dealt to blocks, and tasks hold the
+   sketches of two blocks against each other as arrays.
 
 Links are confirmed on full sets: 100 * intersection >= 100 * similarity * union. Links, components and signatures stay
 tables in the shared folder; nothing of them goes to the driver.
@@ -56,6 +58,8 @@ class Settings:
     slack: float = 0.1  # by which an estimate may miss the bar: over seven deviations, a chance below 1e-12
     estimated: int = 6000  # sizes of two sets, added, from which the estimate decides too
     rounds: int = 3
+    joined: int = 64  # classes of a bucket up to which they are joined; more are compared in blocks
+    block: int = 4096
     seed: int = 23
 
 
@@ -246,7 +250,7 @@ def near_classes(scratch: Scratch, signed: DataFrame, docs: DataFrame, s: Settin
         marked = scratch.table(buckets.join(labels, "digest"))
         lead = F.col("weight") if k == 0 else F.xxhash64("digest", F.lit(k))
         hub = F.max(F.struct(lead.alias("lead"), F.col("digest").alias("hub"), F.col("comp").alias("hub_comp"))).alias("m")
-        open_keys = scratch.table(marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub).filter("lo != hi").select("key", "m.*"))
+        open_keys = scratch.table(marked.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), hub).filter("lo != hi").select("key", "n", "m.*"))
         if open_keys.isEmpty():
             scratch.drop(marked, open_keys)
             break
@@ -255,8 +259,8 @@ def near_classes(scratch: Scratch, signed: DataFrame, docs: DataFrame, s: Settin
             stars = marked.join(open_keys, "key").filter("comp != hub_comp").groupBy("digest").agg(best).select(F.least("digest", "m.hub").alias("a"), F.greatest("digest", "m.hub").alias("b"))
             pairs = stars.distinct().join(left, "a").join(right, "b").filter(alike(s)).select("a", "b")
         else:
-            rest = scratch.table(marked.join(open_keys.select("key"), "key").join(some.select(*sketched, "bands"), "digest"))
-            pairs = across(rest, n_bands, s)
+            rest = scratch.table(marked.join(open_keys.select("key", "n"), "key").join(some.select(*sketched, "bands"), "digest"))
+            pairs = across(rest.filter(F.col("n") <= s.joined), n_bands, s).unionByName(in_blocks(rest.filter(F.col("n") > s.joined), s))
         found = scratch.table(confirmed(pairs, texts, s))
         if not found.isEmpty():
             labels = relabelled(scratch, labels, found)
@@ -283,6 +287,72 @@ def across(rest: DataFrame, n_bands: int, s: Settings) -> DataFrame:
     return x.join(y, near).select(F.col("digest_a").alias("a"), F.col("digest_b").alias("b"))
 
 
+def in_blocks(rest: DataFrame, s: Settings) -> DataFrame:
+    """What `across` gives, for buckets (key, n classes) that are large: a bucket's classes are dealt to blocks of about `block`, and a task compares two blocks."""
+    blocks_ = F.ceil(F.col("n") / s.block).cast("int")
+    rows = rest.withColumn("own", F.pmod(F.xxhash64("digest", F.lit(3)), blocks_).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks_ - 1)))
+    kept = ["key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "band", "comp", "digest", "size", "picked", "sketch", "bands"]
+    width, bar = 64.0 * s.sketch_words, s.percent / 100 - s.slack
+
+    def possible(bits: np.ndarray, size: np.ndarray, hidden: np.ndarray) -> np.ndarray:
+        return (bits - np.minimum(hidden, (bits + 1) // 2)) * (100 + s.percent) <= size * (100 - s.percent)
+
+    def near(batch: pa.Table) -> Iterator[tuple[list[bytes], list[bytes]]]:
+        columns = {c: batch[c].combine_chunks() for c in ("own", "comp", "digest", "size", "picked", "sketch", "bands")}
+        size = columns["size"].to_numpy()
+        order = np.argsort(size, kind="stable")
+        size, picked, own = size[order], columns["picked"].to_numpy()[order], columns["own"].to_numpy()[order]
+        sketch = columns["sketch"].flatten().to_numpy().reshape(len(size), -1).view(np.uint64)[order]
+        bands_ = columns["bands"].flatten().to_numpy().reshape(len(size), -1)[order]
+        codes: dict[bytes, int] = {}
+        comp = np.array([codes.setdefault(c, len(codes)) for c in columns["comp"].to_pylist()])[order]
+        digest, band, across_ = np.array(columns["digest"].to_pylist(), dtype=object)[order], batch["band"][0].as_py(), batch["i"][0].as_py() != batch["j"][0].as_py()
+        few = max(1, s.sketch_words // 4)
+        for lo in range(0, len(size), 32):
+            a = np.arange(lo, min(lo + 32, len(size)))
+            b = np.arange(lo, np.searchsorted(size, 100 * size[a[-1]] // s.percent, side="right"))
+            both, hidden = size[a][:, None] + size[b], size[a][:, None] + size[b] - picked[a][:, None] - picked[b]
+            ok = (b > a[:, None]) & (comp[a][:, None] != comp[b]) & (100 * size[a][:, None] >= s.percent * size[b])
+            if across_:
+                ok &= own[a][:, None] != own[b]
+            if not ok.any():
+                continue
+            some = np.bitwise_count(sketch[a, None, :few] ^ sketch[None, b, :few]).sum(axis=2, dtype=np.int64)
+            x, y = np.nonzero(ok & possible(some, both, hidden))  # a part of the bits rejects most
+            bits, both, hidden = np.bitwise_count(sketch[a[x]] ^ sketch[b[y]]).sum(axis=1, dtype=np.int64), both[x, y], hidden[x, y]
+            differ = np.log(np.maximum(1 - 2 * bits / width, 1e-9)) / np.log(1 - 2 / width)
+            filled = s.ranges * (1 - np.exp(-both / ((1 + bar) * s.ranges)))
+            keep = possible(bits, both, hidden) & ((both < s.estimated) | (picked[a[x]] + picked[b[y]] - differ >= 2 * bar * filled))
+            x, y = a[x[keep]], b[y[keep]]
+            first = (bands_[x] == bands_[y]).argmax(axis=1) == band
+            yield digest[x[first]].tolist(), digest[y[first]].tolist()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                for a, b in near(pa.Table.from_batches(held)):
+                    if a:
+                        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+                held.clear()
+
+        for batch in batches:
+            keys = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], axis=1)
+            cuts = (np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if lo == hi:
+                    continue
+                if (group := tuple(keys[lo].tolist())) != now:
+                    yield from done()
+                    now = group
+                held.append(batch.slice(lo, hi - lo))
+        yield from done()
+
+    return rows.select(*kept).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a binary, b binary")
+
+
 def one_text(some: DataFrame, source: DataFrame, s: Settings) -> DataFrame:
     """A text of each class. Rows of one id may differ, so each is held against its class's digest."""
     rows = source.join(some.select("rep", "digest"), "rep").select("digest", "text")

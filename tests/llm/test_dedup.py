@@ -239,3 +239,37 @@ def test_dropped_lines_equal_brute_force(table):
     assert sum("Posted by" in x for x in gone) > 40 and sum("sent a message" in x for x in gone) > 40 and sum("shipped by" in x for x in gone) > 40
     again = {r["doc_id"]: r["text"] for r in lines.dedup(table(texts), lines.Settings(bitmap=64)).collect()}
     assert again == {i: r["text"] for i, r in got.items()}  # a bitmap that is full costs work, and nothing else
+
+
+def test_near_copies_and_texts_below_the_bar(spark):
+    """Near copies of one text, and texts that are alike by about 0.66; what links them is told from their edits."""
+    draw, n, size, k = np.random.default_rng(6), 700, 200, 5
+    texts, lost = [], []
+    for family, edits in (("a", 1), ("b", 4)):
+        base = [f"{family}{j}" for j in range(size)]
+        for i in range(n):
+            own, gone = list(base), set()
+            for p in draw.choice(size, edits, replace=False).tolist():
+                own[p] = f"{family}x{i}y{p}"
+                gone |= {q for q in range(p - k + 1, p + 1) if 0 <= q <= size - k}
+            texts.append(" ".join(own))
+            lost.append(gone)
+    label, every = list(range(2 * n)), size - k + 1
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for lo in (0, n):
+        for i in range(lo, lo + n):
+            for j in range(i):
+                if j >= lo and 100 * (shared := every - len(lost[i] | lost[j])) >= 80 * (2 * every - shared):
+                    a, b = sorted((root(i), root(j)))
+                    label[b] = a
+    want = [root(i) for i in range(2 * n)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for s in (minhash.Settings(shingle=k), minhash.Settings(shingle=k, rounds=1, joined=5, block=100)):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.groups(rows, s).collect()}
+        assert [got[i] for i in range(2 * n)] == want
+    assert len(set(want[:n])) == 1 and len(set(want[n:])) > 100
