@@ -21,7 +21,7 @@ _TAIL = np.array([(1 << (8 * k)) - 1 if k < 8 else (1 << 64) - 1 for k in range(
 def bounded_batches(spark: SparkSession) -> None:
     """Bounds what a Python worker gets at a time, so that long texts do not add up."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2048")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
