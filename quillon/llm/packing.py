@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm.bpe_words import WordTable, split
-from quillon.llm.common import blocks, read_table, texts_of
+from quillon.llm.common import blocks, freeing, read_table, texts_of
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 TYPES = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "loss_tokens")])
@@ -188,7 +188,7 @@ def pack(docs: DataFrame, tokenizer: str, pattern: str, limits: Limits = Limits(
             yield from rows(x for doc, own in zip(batch.column(0).to_pylist(), ids, strict=True) for x in packer.add(Item(doc, 0, own, len(own))))
         yield from rows(packer.pack())
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(packed, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freeing(packed), SCHEMA)
 
 
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

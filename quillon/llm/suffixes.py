@@ -40,13 +40,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest
 
-from quillon.llm.common import Scratch, blocks, columns_of, fresh, map_arrow, mix, read_table, texts_of, words_at
+from quillon.llm.common import Scratch, blocks, columns_of, freeing, fresh, map_arrow, mix, read_table, texts_of, words_at
 
 WORD = 8
-#: Bytes of a text whose windows are sampled at a time; copies are cut at the same places.
-PIECE = 4 << 20
+#: Bytes of texts whose windows are sampled at a time, for which some sixty times as many are held; copies are cut at the same places.
+PIECE = 1 << 18
 #: Pieces that are named at a time.
-PIECES = 1 << 17
+PIECES = 1 << 15
 
 NODE = "quillon_id long, quillon_text long, core long, whole long, long_core long, long_whole long, leader long, near int, long_near int, far int"
 NODES = pa.schema([(n, pa.int32() if t == "int" else pa.int64()) for n, t in map(str.split, NODE.split(", "))])
@@ -78,7 +78,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 def runs(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one leader: the text's number, the leader's place, and its least and largest distance."""
     found = []
-    for lo, hi in blocks(texts):
+    for lo, hi in blocks(texts, PIECE):
         for cut in range(0, max(1, max(len(t) for t in texts[lo:hi]) - length + 1), PIECE):
             own = [t[cut : cut + PIECE + length - 1] for t in texts[lo:hi]]
             sizes = np.array([len(t) for t in own])
@@ -163,7 +163,7 @@ def pieces(rows: DataFrame, step: int, s: Settings) -> DataFrame:
             for k, *columns in named(texts, *todo, step, s) if len(todo[0]) else ():
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip((ids[k], digests[k], *columns), NODES.types, strict=True)], schema=NODES)
 
-    return rows.select(*ROW, F.col("text").cast("string"), *["runs"] * given).mapInArrow(run, NODE)
+    return rows.select(*ROW, F.col("text").cast("string"), *["runs"] * given).mapInArrow(freeing(run), NODE)
 
 
 def resolved(scratch: Scratch, some: DataFrame, core: str, whole: str, near: str, length: int) -> tuple[DataFrame, DataFrame]:
@@ -261,7 +261,7 @@ def cuts(marks: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
             removed = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays([pa.array(lo), pa.array(hi)], fields=list(span)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(passage), removed, pa.array(kept, pa.binary()), pa.array([hashlib.sha256(k).hexdigest() for k in kept])], schema=types)
 
-    return texts.join(spans, ROW).select(*ROW, "text", "spans").mapInArrow(run, "quillon_id long, quillon_text long, passage_bytes long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string")
+    return texts.join(spans, ROW).select(*ROW, "text", "spans").mapInArrow(freeing(run), "quillon_id long, quillon_text long, passage_bytes long, spans array<struct<start: long, end: long>>, kept binary, kept_sha256 string")
 
 
 def digests(docs: DataFrame, s: Settings = BOTH) -> DataFrame:

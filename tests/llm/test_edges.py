@@ -1,6 +1,7 @@
 """Very long texts, repeated rows, ties and empty training tables."""
 
 import hashlib
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -31,6 +32,26 @@ def test_long_texts_lose_repeats_beyond_a_piece(table, monkeypatch):
     assert got == {0: (600, 1), 1: (600, 1)}
 
 
+def test_sampling_of_windows_holds_little_at_a_time():
+    rng = np.random.default_rng(5)
+    draw = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8))
+    for texts in ([draw(4000) for _ in range(1000)], [draw(4_000_000)]):
+        tracemalloc.start()
+        doc, leader, near, far = suffixes.runs(texts, 240)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert held < 32 << 20
+        assert (far - near + 1).sum() >= sum(len(t) - 239 for t in texts) and (leader - far >= 0).all() and doc.max() == len(texts) - 1
+
+
+def test_workers_free_memory_after_a_task(monkeypatch):
+    freed = []
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: type("C", (), {"malloc_trim": staticmethod(freed.append)}))
+    assert list(common.freeing(iter)([1, 2])) == [1, 2] and freed == [0]
+    monkeypatch.setattr(common.ctypes, "CDLL", lambda _: object())
+    assert list(common.freeing(iter)([3])) == [3]
+
+
 def test_long_texts_are_packed_whole(table):
     text = "many words, é and 12 more; " * 90_000
     tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
