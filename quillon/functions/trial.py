@@ -12,7 +12,8 @@ DATA_PROCESSING_VERSION = "1"
 
 
 def register(id_: Column) -> Column:
-    return F.when(id_.rlike(r"^\d{4}-\d{6}-\d{2}-([A-Z]|3RD)"), "EUCTR").otherwise("CTIS")
+    """By the country behind the number. Serial numbers have six digits, and more from a million on."""
+    return F.when(id_.rlike(r"^\d{4}-\d{6,}-\d{2}-([A-Z]|3RD)"), "EUCTR").otherwise("CTIS")
 
 
 def valid_id(id_: Column) -> Column:
