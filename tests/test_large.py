@@ -31,6 +31,7 @@ def a_million_trials(tmp_path_factory):
     "name",
     [
         "q_pip_compounds",
+        "q_pip_compound_choices",
     ],
 )
 def test_numbers_of_seven_digits(spark, a_million_trials, name):
