@@ -35,6 +35,7 @@ def a_million_trials(tmp_path_factory):
         "q_pip_compounds_top",
         "q_prepared_dates",
         "q_prepared_dimensions",
+        "q_prepared_categories",
     ],
 )
 def test_numbers_of_seven_digits(spark, a_million_trials, name):
