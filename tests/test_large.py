@@ -38,6 +38,7 @@ def a_million_trials(tmp_path_factory):
         "q_prepared_categories",
         "q_prepared_identity",
         "q_prepared_log",
+        "q_prepared_waterfall",
     ],
 )
 def test_numbers_of_seven_digits(spark, a_million_trials, name):
