@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quillon.functions import names as N
-from quillon.functions.text import replace_all, squish
+from quillon.functions.text import let, replace_all, squish
 
 # What is cut from names to find candidates. Results are compared by them.
 LEGAL_FORMS = [
@@ -128,34 +128,40 @@ def spelled(raw: Column) -> Column:
 
 def without_department(raw: Column) -> Column:
     """What stands before a department, if that is three letters or more."""
-    clean = N.clean_sponsor_alias(raw)
-    out = without(clean, rf"\s+{any_of(DEPARTMENTS)}.*$")
-    return F.when((F.length(out) >= 3) & (out != clean), out)
+    return let(N.clean_sponsor_alias(raw), _without_department)
+
+
+def _without_department(clean: Column) -> Column:
+    return let(without(clean, rf"\s+{any_of(DEPARTMENTS)}.*$"), lambda out: F.when((F.length(out) >= 3) & (out != clean), out))
 
 
 def parent_spellings(raw: Column) -> Column:
     """An institution's name without address and country, in the spellings under which labels know it."""
     base = no_address(N.clean_sponsor_alias(raw))
     base = squish(F.regexp_replace(F.regexp_replace(base, rf"\s+\b({'|'.join(COUNTRY_TAILS)})$", ""), r"^\s*(the\s+)?", ""))
-    centres = [base, F.regexp_replace(base, r"\bcenter\b", "centre"), F.regexp_replace(base, r"\bcentre\b", "center")]
-    saints = [*centres, *(F.regexp_replace(x, rf"\b{s}\b", "st") for s in ("sint", "saint") for x in centres)]
-    short = []
-    for x in saints:
-        short.append(F.regexp_replace(x, r"^university medical cent(?:er|re)\s+(.+)$", "umc $1"))
-        short.append(F.regexp_replace(x, r"^universitair medisch centrum\s+(.+)$", "umc $1"))
-        short.append(F.regexp_replace(x, r"^(.+)\s+universitair medisch centrum$", "$1 umc"))
-    compact = [F.nullif(F.regexp_extract(x, r"^([a-z0-9-]+\s+umc)\b", 1), F.lit("")) for x in saints]
-    return listed(*saints, *short, *compact)
+    centred = lambda x: F.array(x, F.regexp_replace(x, r"\bcenter\b", "centre"), F.regexp_replace(x, r"\bcentre\b", "center"))
+    saint = lambda word: lambda x: F.regexp_replace(x, rf"\b{word}\b", "st")
+    sainted = lambda c: F.concat(c, F.transform(c, saint("sint")), F.transform(c, saint("saint")))
+    short = lambda x: F.array(F.regexp_replace(x, r"^university medical cent(?:er|re)\s+(.+)$", "umc $1"), F.regexp_replace(x, r"^universitair medisch centrum\s+(.+)$", "umc $1"), F.regexp_replace(x, r"^(.+)\s+universitair medisch centrum$", "$1 umc"))
+    compact = lambda x: F.nullif(F.regexp_extract(x, r"^([a-z0-9-]+\s+umc)\b", 1), F.lit(""))
+    every = lambda saints: F.concat(saints, F.flatten(F.transform(saints, short)), F.transform(saints, compact))
+    saints = let(let(base, centred), lambda c: F.array_distinct(sainted(c)))
+    return F.array_distinct(F.filter(let(saints, every), lambda x: x.isNotNull() & (x != "")))
+
+
+def named_parents(raw: Column) -> Column:
+    """Institutions that a department's name may belong to, as it spells them: its parts that name one, what stands before the department, what begins with an institution."""
+    raw = F.coalesce(raw, F.lit(""))
+    anchor = any_of(INSTITUTIONS)
+    parts = F.filter(F.transform(F.split(raw, r"\s*[,;/]\s*"), N.clean_sponsor_alias), lambda x: (F.length(x) >= 3) & x.rlike(anchor))
+    tail = lambda clean: F.nullif(F.regexp_extract(clean, rf"({anchor}.*)$", 1), F.lit(""))
+    rest = let(N.clean_sponsor_alias(raw), lambda clean: listed(_without_department(clean), tail(clean)))
+    return F.array_distinct(F.concat(parts, rest))
 
 
 def department_parents(raw: Column) -> Column:
     """Institutions that a department's name may belong to: its parts that name one, then their spellings."""
-    raw = F.coalesce(raw, F.lit(""))
-    anchor, clean = any_of(INSTITUTIONS), N.clean_sponsor_alias(raw)
-    parts = F.filter(F.transform(F.split(raw, r"\s*[,;/]\s*"), N.clean_sponsor_alias), lambda x: (F.length(x) >= 3) & x.rlike(anchor))
-    tail = F.nullif(F.regexp_extract(clean, rf"({anchor}.*)$", 1), F.lit(""))
-    parents = F.array_distinct(F.concat(parts, listed(without_department(raw), tail)))
-    return F.array_distinct(F.concat(parents, F.flatten(F.transform(parents, parent_spellings))))
+    return let(named_parents(raw), lambda parents: F.array_distinct(F.concat(parents, F.flatten(F.transform(parents, parent_spellings)))))
 
 
 def parent_key(raw: Column) -> Column:
@@ -170,9 +176,8 @@ def is_classed(key: Column) -> Column:
 
 def suggest(raw: Column) -> Column:
     """A proposal for the canonical name: the parent, without address, legal form and branch."""
-    clean = N.clean_sponsor_alias(raw)
-    cut = no_branch(no_legal_form(no_address(F.coalesce(F.get(department_parents(raw), 0), clean))))
-    return F.initcap(F.when(F.length(cut) >= 3, cut).otherwise(clean))
+    cut = lambda clean: no_branch(no_legal_form(no_address(F.coalesce(F.get(named_parents(raw), F.lit(0)), clean))))
+    return let(N.clean_sponsor_alias(raw), lambda clean: let(cut(clean), lambda x: F.initcap(F.when(F.length(x) >= 3, x).otherwise(clean))))
 
 
 def candidates(raw: Column) -> Column:

@@ -33,10 +33,10 @@ PATTERNS = [
 
 
 def named(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id and raw."""
-    k = F.col("c_custkey")
+    """id and raw, dealt to as many tasks as the session has shuffle partitions: customers are few bytes, and much is done with each."""
+    k, tasks = F.col("c_custkey"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     filled = [F.replace(F.replace(F.lit(p), F.lit("{s}"), F.lower("c_mktsegment")), F.lit("{n}"), (k % 40).cast("string")) for p in PATTERNS]
-    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k.alias("id"), F.element_at(F.array(*filled), (k % len(PATTERNS) + 1).cast("int")).alias("raw"))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k, "c_mktsegment").repartition(tasks, k).select(k.alias("id"), F.element_at(F.array(*filled), (k % len(PATTERNS) + 1).cast("int")).alias("raw"))
 
 
 def _q(text: str) -> str:

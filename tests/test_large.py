@@ -43,3 +43,18 @@ def a_million_trials(tmp_path_factory):
 )
 def test_numbers_of_seven_digits(spark, a_million_trials, name):
     assert differences(spark, name, catalog.QUERIES[name], catalog.ORACLES[name], a_million_trials) == ""
+
+
+def cleanings(df) -> int:
+    """How often a plan folds a name's letters; each stands for a whole chain of patterns behind it."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("translate(")
+
+
+@pytest.mark.parametrize(
+    "name, most",
+    [
+        ("q_sponsor_suggestion", 3),  # the name, the name again for its parents, and the parts of the name
+    ],
+)
+def test_names_are_cleaned_once(spark, name, most):
+    assert cleanings(catalog.QUERIES[name](spark, SF)) <= most
