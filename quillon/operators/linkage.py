@@ -184,12 +184,16 @@ def fuzzy(queries: DataFrame, targets: DataFrame, least: float = 0.92) -> DataFr
 
 
 def containment(queries: DataFrame, targets: DataFrame) -> DataFrame:
-    """Targets whose words stand in the query, found by the target's rarest word."""
-    words = targets.select("id", "target", F.explode(F.array_distinct(F.filter(F.split("target", " "), lambda w: (F.length(w) >= 4) & ~w.isin(N.GENERIC)))).alias("word"))
+    """Targets whose words stand in the query, found by the target's rarest word.
+
+    Both sides grow with the input, and a text's words are many times the table whose size Spark knows: neither is sent to all.
+    """
+    telling = lambda text: F.array_distinct(F.filter(F.split(text, " "), lambda w: (F.length(w) >= 4) & ~w.isin(N.GENERIC)))
+    words = targets.select("id", "target", F.explode(telling("target")).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    signal = first_by(words.join(counts, "word"), ["id"], F.col("n"), F.col("word"))
-    own = queries.select("query", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    return own.join(signal.select("id", "target", "word"), "word").filter(N.contains_tokens(F.col("text"), F.col("target"))).select("query", "id").distinct()
+    signal = first_by(words.join(counts.hint("merge"), "word"), ["id"], F.col("n"), F.col("word"))
+    own = queries.select("query", "text", F.explode(telling("text")).alias("word"))
+    return own.hint("merge").join(signal.select("id", "target", "word"), "word").filter(N.contains_tokens(F.col("text"), F.col("target"))).select("query", "id").distinct()
 
 
 def ladder_hit(queries: DataFrame, aliases: DataFrame, ladder: Column) -> DataFrame:

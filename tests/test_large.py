@@ -58,3 +58,8 @@ def cleanings(df) -> int:
 )
 def test_names_are_cleaned_once(spark, name, most):
     assert cleanings(catalog.QUERIES[name](spark, SF)) <= most
+
+
+def test_texts_are_not_sent_to_all(spark):
+    """The table of parts is small on disk, and Spark judges by that; the words of all texts are not."""
+    assert "Broadcast" not in catalog.QUERIES["q_contained_names"](spark, SF)._jdf.queryExecution().executedPlan().toString()
