@@ -36,6 +36,21 @@ def shared_keys(df: DataFrame, key: str, least: int = 20) -> DataFrame:
     return left.join(right, "key").filter("euctr_id != ctis_id").select("euctr_id", "ctis_id", "key")
 
 
+def first_shared_keys(df: DataFrame, key: str, n: int, least: int = 20) -> DataFrame:
+    """The first n of these pairs by key, euctr_id and ctis_id, without making the others. An id stands once in a register.
+
+    Each of the first n keys that have a pair gives one at least, and none of a key's first n pairs reaches beyond the n + 1
+    smallest ids of either register (one may be its own counterpart, which is no pair). So at most n * (n + 1)^2 pairs are made.
+    """
+    rows = df.filter(F.length(key) >= least).select("id", "register", F.col(key).alias("key"))
+    sides = [F.when(F.col("register") == r, F.col("id")) for r in ("EUCTR", "CTIS")]
+    ends = [f(x).alias(f"{name}{k}") for k, x in enumerate(sides) for name, f in (("low", F.min), ("high", F.max))]
+    paired = rows.groupBy("key").agg(*ends).filter("low0 IS NOT NULL AND low1 IS NOT NULL AND NOT (low0 = high1 AND high0 = low1)")
+    some = rows.join(F.broadcast(paired.orderBy("key").limit(n).select("key")), "key", "left_semi")
+    ranked = some.withColumn("_r", F.row_number().over(Window.partitionBy("key", "register").orderBy("id"))).filter(F.col("_r") <= n + 1).drop("_r")
+    return top(shared_keys(ranked, "key", least), n, "key", "euctr_id", "ctis_id")
+
+
 def duplicated(df: DataFrame, key: str) -> DataFrame:
     """Keys that several rows have, and how many."""
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1")

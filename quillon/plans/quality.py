@@ -92,7 +92,7 @@ def a_issue_table(spark, d):
 @query(f", {_PAIRS} SELECT * FROM p ORDER BY key, euctr_id, ctis_id LIMIT 100")
 def a_shared_titles(spark, d):
     """The first hundred pairs of both registers with one title."""
-    return quality.top(quality.shared_keys(rows(spark, d), "title_key"), 100, "key", "euctr_id", "ctis_id")
+    return quality.first_shared_keys(rows(spark, d), "title_key", 100)
 
 
 @query(f", {_UNMATCHED} SELECT * FROM u")

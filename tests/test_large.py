@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from quillon import catalog
+from quillon.operators import quality
 from tests.oracle import TABLES, differences
 
 SF = "/root/testdata/sf0.001"
@@ -63,3 +64,20 @@ def test_names_are_cleaned_once(spark, name, most):
 def test_texts_are_not_sent_to_all(spark):
     """The table of parts is small on disk, and Spark judges by that; the words of all texts are not."""
     assert "Broadcast" not in catalog.QUERIES["q_contained_names"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_first_pairs_equal_all_pairs_sorted(spark):
+    """Keys of many sizes, some of one register only, one whose only pair is a row with itself; fewer pairs asked for than there are."""
+    rows = [(i, r, f"a title of twenty letters {i * i % 7}") for i in range(60) for r in (["EUCTR"] if i % 3 else ["CTIS", "EUCTR"] if i % 4 else ["CTIS"])]
+    rows += [(900, r, "a title of a row that is its own counterpart") for r in ("EUCTR", "CTIS")] + [(901, "EUCTR", "a title of one register alone")]
+    df = spark.createDataFrame(rows, "id long, register string, k string")
+    every = quality.shared_keys(df, "k")
+    for n in (1, 3, 20, every.count() + 5):
+        want = quality.top(every, n, "key", "euctr_id", "ctis_id").collect()
+        assert quality.first_shared_keys(df, "k", n).collect() == want and len(want) == min(n, every.count())
+
+
+def test_first_pairs_come_from_few_rows(spark):
+    plan = catalog.QUERIES["a_shared_titles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    pairs = plan.index("euctr_id#", plan.index("Join [key"))
+    assert "WindowGroupLimit" in plan[pairs:]
