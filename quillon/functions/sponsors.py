@@ -5,6 +5,8 @@ A sponsor is cleaned first (`names.clean_sponsor_alias`). Functions take the raw
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -106,10 +108,9 @@ def no_branch(clean: Column) -> Column:
 
 
 def strip_legal_forms(clean: Column) -> Column:
-    """Without legal forms and the conjunctions that they leave, six deep at most."""
-    for _ in range(6):
-        clean = without(no_legal_form(clean), r"\s+\b(and|und|et|e|y)$")
-    return clean
+    """Without legal forms and the conjunctions that they leave, six deep at most; what a round leaves as it is, further rounds would too."""
+    cut = lambda c, rounds: let(without(no_legal_form(c), r"\s+\b(and|und|et|e|y)$"), lambda x: F.when(x == c, x).otherwise(cut(x, rounds - 1)) if rounds > 1 else x)
+    return let(clean, lambda c: cut(c, 6))
 
 
 def usable(c: Column, shortest: int = 1) -> Column:
@@ -230,36 +231,55 @@ def says_enough(c: Column, shortest: int = 4) -> Column:
     return F.coalesce((F.length(c) >= shortest) & F.exists(F.split(c, " "), lambda t: ~t.isin(STOP_WORDS)), F.lit(False))
 
 
+def answer(clean: Column, cut: Column, rule: str) -> Column:
+    """What one rule alone makes of a cleaned name and of that without legal forms; null where it declines. case_punct answers only where no other rule would."""
+    found = {"case_punct": F.when(cut == clean, clean), "legal_suffix": F.when(cut != clean, cut)}[rule]
+    return let(found, lambda x: F.when(says_enough(x), F.initcap(x)))
+
+
+def _both(raw: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body of the cleaned name and of that without legal forms, each made once."""
+    return let(N.clean_sponsor_alias(raw), lambda clean: let(strip_legal_forms(clean), lambda cut: body(clean, cut)))
+
+
+def _verdict(derived: Column, rule: Column | str, confidence: Column | float) -> Column:
+    """derived, rule_id and confidence, all null where there is no answer."""
+    return let(derived, lambda x: F.struct(x.alias("derived"), F.when(x.isNotNull(), rule).alias("rule_id"), F.when(x.isNotNull(), confidence).alias("confidence")))
+
+
 def by_rule(raw: Column, rule: str) -> Column:
-    """One rule alone: derived, rule_id and confidence, all null where it declines. case_punct answers only where no other rule would."""
-    clean = N.clean_sponsor_alias(raw)
-    cut = strip_legal_forms(clean)
-    answer = {"case_punct": F.when(cut == clean, clean), "legal_suffix": F.when(cut != clean, cut)}[rule]
-    answer = F.when(says_enough(answer), F.initcap(answer))
-    given = answer.isNotNull()
-    return F.struct(answer.alias("derived"), F.when(given, rule).alias("rule_id"), F.when(given, CONFIDENCE[rule]).alias("confidence"))
+    """One rule alone: derived, rule_id and confidence, all null where it declines."""
+    return _both(raw, lambda clean, cut: _verdict(answer(clean, cut, rule), rule, CONFIDENCE[rule]))
+
+
+def by_rules(raw: Column) -> Column:
+    """The answers of all rules, each alone, as by_rule gives them; rules that decline are left out."""
+    every = lambda clean, cut: F.array(*[_verdict(answer(clean, cut, rule), rule, CONFIDENCE[rule]) for rule in CONFIDENCE])
+    return F.filter(_both(raw, every), lambda m: m["derived"].isNotNull())
 
 
 def derive(raw: Column) -> Column:
     """The rules together. Combined sponsors are left as they are; a cut that leaves too little is not made."""
-    clean = N.clean_sponsor_alias(raw)
-    cut = strip_legal_forms(clean)
-    fired = (cut != clean) & says_enough(cut)
-    name = F.when(fired, cut).otherwise(clean)
-    given = says_enough(name) & ~F.coalesce(N.is_cross_entity(clean), F.lit(False))
-    rule = F.when(fired, "legal_suffix").otherwise("case_punct")
-    confidence = F.when(fired, CONFIDENCE["legal_suffix"]).otherwise(CONFIDENCE["case_punct"])
-    return F.struct(F.when(given, F.initcap(name)).alias("derived"), F.when(given, rule).alias("rule_id"), F.when(given, confidence).alias("confidence"))
+
+    def together(clean: Column, cut: Column) -> Column:
+        fired = (cut != clean) & says_enough(cut)
+        name = F.when(fired, cut).otherwise(clean)
+        given = lambda x: says_enough(x) & ~F.coalesce(N.is_cross_entity(clean), F.lit(False))
+        rule = F.when(fired, "legal_suffix").otherwise("case_punct")
+        confidence = F.when(fired, CONFIDENCE["legal_suffix"]).otherwise(CONFIDENCE["case_punct"])
+        return _verdict(let(name, lambda x: F.when(given(x), F.initcap(x))), rule, confidence)
+
+    return _both(raw, together)
 
 
 def removed_words(raw: Column, final: Column) -> Column:
     """The words of raw that are left over when final's are found in it in order. Both are arrays."""
     none = F.array().cast("array<string>")
-    step = lambda n, w: F.when(F.get(final, n["at"]) == w, F.struct((n["at"] + 1).alias("at"), n["left"].alias("left"))).otherwise(F.struct(n["at"].alias("at"), F.concat(n["left"], F.array(w)).alias("left")))
-    return F.aggregate(raw, F.struct(F.lit(0).alias("at"), none.alias("left")), step, lambda n: n["left"])
+    step = lambda final: lambda n, w: F.when(F.get(final, n["at"]) == w, F.struct((n["at"] + 1).alias("at"), n["left"].alias("left"))).otherwise(F.struct(n["at"].alias("at"), F.concat(n["left"], F.array(w)).alias("left")))
+    return let(final, lambda f: F.aggregate(raw, F.struct(F.lit(0).alias("at"), none.alias("left")), step(f), lambda n: n["left"]))
 
 
 def removed_tail(raw: Column, final: Column) -> Column:
     """What follows final in raw, if raw begins with all of it; else null. Both are arrays."""
-    n = F.size(final)
-    return F.when((n < F.size(raw)) & (F.slice(raw, 1, n) == final), F.array_join(F.slice(raw, n + 1, F.size(raw)), " "))
+    tail = lambda r, f: F.when((F.size(f) < F.size(r)) & (F.slice(r, 1, F.size(f)) == f), F.array_join(F.slice(r, F.size(f) + 1, F.size(r)), " "))
+    return let(raw, lambda r: let(final, lambda f: tail(r, f)))

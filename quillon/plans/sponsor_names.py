@@ -39,6 +39,11 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/customer.parquet").select(k, "c_mktsegment").repartition(tasks, k).select(k.alias("id"), F.element_at(F.array(*filled), (k % len(PATTERNS) + 1).cast("int")).alias("raw"))
 
 
+def _each(rows: DataFrame, values: Column, name: str) -> DataFrame:
+    """id and one row a value, none of which is null. Under a plain explode Spark tests the array before, and makes it three times."""
+    return rows.select("id", F.explode_outer(values).alias(name)).filter(F.col(name).isNotNull())
+
+
 def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
@@ -122,9 +127,7 @@ def q_gold_sample(spark, d):
 )
 def q_sponsor_rules(spark, d):
     """What each rule alone makes of a name."""
-    rows = named(spark, d)
-    one = lambda rule: rows.select("id", F.lit(rule).alias("rule"), S.by_rule(F.col("raw"), rule).alias("m")).select("id", "rule", "m.derived", "m.confidence")
-    return one("case_punct").unionByName(one("legal_suffix")).filter("derived IS NOT NULL")
+    return _each(named(spark, d), S.by_rules(F.col("raw")), "m").select("id", F.col("m.rule_id").alias("rule"), "m.derived", "m.confidence")
 
 
 def _spellings() -> tuple[str, str, str]:
@@ -153,7 +156,7 @@ _BASE = f"trim(regexp_replace(regexp_replace(regexp_replace({_without(_clean('pa
  SELECT DISTINCT id, parent FROM (SELECT id, parent FROM b UNION ALL SELECT id, parent FROM x) WHERE parent IS NOT NULL AND parent <> ''"""
 )
 def q_department_parents(spark, d):
-    return named(spark, d).select("id", F.explode(S.department_parents(F.col("raw"))).alias("parent")).distinct()
+    return _each(named(spark, d), S.department_parents(F.col("raw")), "parent").distinct()
 
 
 _SUGGESTED = _without(_without(_without("coalesce(first, clean)", S.any_of(S.ADDRESS)), _LEGAL), S.any_of(S.BRANCHES))
@@ -167,17 +170,20 @@ def q_sponsor_suggestion(spark, d):
 @query(NAMES + " SELECT id, nullif(array_to_string(string_split(clean, ' ')[len(string_split(cut, ' ')) + 1:], ' '), '') AS tail, CAST(len(string_split(clean, ' ')) - len(string_split(cut, ' ')) AS INT) AS n FROM n")
 def q_removed_words(spark, d):
     """What the legal rule cuts from the end of a name, and how many words."""
-    clean = N.clean_sponsor_alias(F.col("raw"))
-    raw, final = F.split(clean, " "), F.split(S.strip_legal_forms(clean), " ")
-    return named(spark, d).select("id", S.removed_tail(raw, final).alias("tail"), F.size(S.removed_words(raw, final)).alias("n"))
+    raw, final = F.split("clean", " "), F.split("cut", " ")
+    return cut_names(named(spark, d)).select("id", S.removed_tail(raw, final).alias("tail"), F.size(S.removed_words(raw, final)).alias("n"))
+
+
+def cut_names(rows: DataFrame) -> DataFrame:
+    """id, raw, clean, and cut, which is clean without legal forms; each column is made from the one before."""
+    return rows.withColumn("clean", N.clean_sponsor_alias(F.col("raw"))).withColumn("cut", S.strip_legal_forms(F.col("clean")))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """raw, what was decided for it, and what the rules derive: every third decision keeps the legal form, every fifth name is another one."""
-    rows, clean = named(spark, sf_dir), N.clean_sponsor_alias(F.col("raw"))
-    cut = S.strip_legal_forms(clean)
+    clean, cut = F.col("clean"), F.col("cut")
     want = F.when(F.col("id") % 5 == 0, F.concat(F.lit("Other "), F.initcap(cut))).when(F.col("id") % 3 == 0, F.initcap(clean)).when(F.col("id") % 7 == 0, F.upper(cut)).otherwise(F.initcap(cut))
-    return rows.select("id", "raw", clean.alias("clean"), cut.alias("cut"), want.alias("final"))
+    return cut_names(named(spark, sf_dir)).withColumn("final", want)
 
 
 _PAIRS = NAMES + f", w AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'Other ' || {_title('cut')} WHEN id % 3 = 0 THEN {_title('clean')} WHEN id % 7 = 0 THEN upper(cut) ELSE {_title('cut')} END AS final FROM n)"
@@ -188,7 +194,7 @@ _RULES = f", a AS (SELECT *, 'case_punct' AS rule, CASE WHEN cut = clean THEN cl
 def q_rule_safety(spark, d):
     """How often each rule alone agrees with what was decided."""
     rows = pairs(spark, d)
-    return sampling.rule_safety(rows, {r: S.by_rule(F.col("raw"), r)["derived"] for r in S.CONFIDENCE}, "final")
+    return sampling.rule_safety(rows, {r: S.answer(F.col("clean"), F.col("cut"), r) for r in S.CONFIDENCE}, "final")
 
 
 @query(NAMES + ", r AS (SELECT unnest(string_split(clean, ' ')[len(string_split(cut, ' ')) + 1:]) AS word FROM n) SELECT word, count(*) AS n FROM r GROUP BY 1 QUALIFY row_number() OVER (ORDER BY count(*) DESC, word) <= 25")
@@ -196,4 +202,4 @@ def q_removed_word_counts(spark, d):
     """The words that decisions cut most often."""
     rows = pairs(spark, d)
     left: Column = S.removed_words(F.split("clean", " "), F.split("cut", " "))
-    return rows.select(F.explode(left).alias("word")).groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(25)
+    return _each(rows, left, "word").groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(25)
