@@ -55,6 +55,7 @@ def cleanings(df) -> int:
     "name, most",
     [
         ("q_sponsor_suggestion", 3),  # the name, the name again for its parents, and the parts of the name
+        ("q_sponsor_rules", 1),
         ("q_removed_words", 1),
     ],
 )
