@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +26,8 @@ def stratified(rows: DataFrame, stratum: str, budget: int, least: int, *order: C
 
 def rule_safety(pairs: DataFrame, rules: dict[str, Column], final: str) -> DataFrame:
     """Of each rule: how often it answers, and how often it agrees, differs in spelling only, or conflicts with `final`."""
-    derived = reduce(DataFrame.unionByName, [pairs.select(F.lit(name).alias("rule"), c.alias("derived"), F.col(final).alias("final")) for name, c in rules.items()])
+    answers = F.array(*[F.struct(F.lit(name).alias("rule"), c.alias("derived")) for name, c in rules.items()])
+    derived = pairs.select(F.col(final).alias("final"), F.explode_outer(answers).alias("m")).select("m.rule", "m.derived", "final")
     same, alike = F.col("derived") == F.col("final"), fold_translit(F.col("derived")) == fold_translit(F.col("final"))
     outcome = F.when(same, "agree").when(alike, "cosmetic").otherwise("conflict")
     counts = derived.filter("derived IS NOT NULL").withColumn("outcome", outcome).groupBy("rule").agg(F.count("*").alias("fires"), *[F.count_if(F.col("outcome") == o).alias(o) for o in ("agree", "cosmetic", "conflict")])
