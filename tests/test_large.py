@@ -55,6 +55,7 @@ def cleanings(df) -> int:
     "name, most",
     [
         ("q_sponsor_suggestion", 3),  # the name, the name again for its parents, and the parts of the name
+        ("q_department_parents", 3),  # as for a suggestion, and each parent's spellings
         ("q_rule_safety", 3),  # the name, what is derived, and what was decided
         ("q_sponsor_rules", 1),
         ("q_removed_words", 1),
