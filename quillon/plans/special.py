@@ -9,7 +9,7 @@ from quillon.operators import cube, frames
 from quillon.operators.filters import FilterSpec
 from quillon.plans import bins
 from quillon.plans.dashboard import COMPLETED, SELECTED
-from quillon.plans.trials_view import TRIALS_SQL, trials
+from quillon.plans.trials_view import TRIALS_SQL, exploded, trials
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -130,16 +130,22 @@ def q_country_cooccur(spark, d):
     return frames.cooccurrence(df, "id", "countries", top)
 
 
+def trials_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials are told apart where their rows lie already, by id: no task gathers the pairs of a file to count them by country."""
+    pairs = exploded(spark, sf_dir, "countries", "country").select("id", "country").distinct()
+    return pairs.groupBy("country").agg(F.count("*").alias("n_trials"))
+
+
 @query(POPULATIONS_SQL + ", e AS (SELECT DISTINCT id, unnest(countries) AS country FROM t), c AS (SELECT country, count(*) AS n_trials FROM e GROUP BY 1) SELECT country, n_trials, lat, lng, round_even(n_trials / (child_pop / 1000), 1) AS per_million_children, round_even(n_trials / (adult_pop / 1000), 1) AS per_million_adults, round_even(n_trials / (total_pop / 1000), 1) AS per_million_total FROM c JOIN p USING (country)")
 def q_country_per_million(spark, d):
-    counts = trials(spark, d, "countries").select("id", F.explode("countries").alias("country")).groupBy("country").agg(F.countDistinct("id").alias("n_trials"))
+    counts = trials_by_country(spark, d)
     joined = counts.join(F.broadcast(populations(spark, d)), "country")
     return joined.select("country", "n_trials", "lat", "lng", *[F.bround(F.col("n_trials") / (F.col(c) / 1000), 1).alias(f"per_million_{n}") for c, n in (("child_pop", "children"), ("adult_pop", "adults"), ("total_pop", "total"))])
 
 
 @query(POPULATIONS_SQL + ", e AS (SELECT DISTINCT id, unnest(countries) AS country FROM t), c AS (SELECT country, count(*) AS n_trials FROM e GROUP BY 1) SELECT country, lat, lng, n_trials, round(least(8 + ln(1 + n_trials) * 4, 35), 6) AS radius FROM c JOIN p USING (country)")
 def q_map_radius(spark, d):
-    counts = trials(spark, d, "countries").select("id", F.explode("countries").alias("country")).groupBy("country").agg(F.countDistinct("id").alias("n_trials"))
+    counts = trials_by_country(spark, d)
     return counts.join(F.broadcast(populations(spark, d)), "country").select("country", "lat", "lng", "n_trials", F.round(F.least(8 + F.log1p("n_trials") * 4, F.lit(35.0)), 6).alias("radius"))
 
 
@@ -158,7 +164,8 @@ def q_map_bbox(spark, d):
 
 @query(", e AS (SELECT DISTINCT id, year, unnest(substances) AS substance FROM t WHERE year IS NOT NULL) SELECT substance, min(year) AS debut, count(DISTINCT id) AS n FROM e GROUP BY 1")
 def q_substance_debut(spark, d):
-    return trials(spark, d, "year", "substances").filter("year IS NOT NULL").select("id", "year", F.explode("substances").alias("substance")).groupBy("substance").agg(F.min("year").alias("debut"), F.countDistinct("id").alias("n"))
+    pairs = exploded(spark, d, "substances", "substance", "year").filter("year IS NOT NULL").groupBy("id", "substance").agg(F.min("year").alias("year"))
+    return pairs.groupBy("substance").agg(F.min("year").alias("debut"), F.count("*").alias("n"))
 
 
 @query(", e AS (SELECT id, terms, unnest(substances) AS substance FROM t), s AS (SELECT substance FROM e GROUP BY 1 ORDER BY count(*) DESC, substance LIMIT 5), f AS (SELECT substance, unnest(terms) AS term FROM e WHERE substance IN (SELECT substance FROM s)), c AS (SELECT substance, term, count(*) AS n FROM f GROUP BY ALL) SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY substance ORDER BY n DESC, term) <= 5")

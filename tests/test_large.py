@@ -1,6 +1,7 @@
 """Queries on tables whose keys, or groups, are beyond those of the test data."""
 
 import os
+import re
 
 import duckdb
 import pytest
@@ -85,3 +86,15 @@ def test_first_pairs_come_from_few_rows(spark):
     plan = catalog.QUERIES["a_shared_titles"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     pairs = plan.index("euctr_id#", plan.index("Join [key"))
     assert "WindowGroupLimit" in plan[pairs:]
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "q_country_per_million",
+    ],
+)
+def test_trials_are_told_apart_by_id(spark, name):
+    """No arrays are gathered from the files, and pairs that lie by id are not dealt anew to be counted."""
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "collect_set" not in plan and "count(distinct" not in plan and not re.search(r"hashpartitioning\((country|substance)#\d+, id#", plan)
