@@ -92,6 +92,7 @@ def test_first_pairs_come_from_few_rows(spark):
     "name",
     [
         "q_country_per_million",
+        "q_map_radius",
     ],
 )
 def test_trials_are_told_apart_by_id(spark, name):
