@@ -93,6 +93,7 @@ def test_first_pairs_come_from_few_rows(spark):
     [
         "q_country_per_million",
         "q_map_radius",
+        "q_substance_debut",
     ],
 )
 def test_trials_are_told_apart_by_id(spark, name):
